@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vacantia.llm import tokens
+from vacantia.llm import canonical, tokens
 
 
 def modules() -> list:
     """Every module with QUERIES and ORACLES."""
-    return [tokens]
+    return [canonical, tokens]
