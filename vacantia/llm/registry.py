@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vacantia.llm import canonical, tokens
+from vacantia.llm import canonical, names, tokens
 
 
 def modules() -> list:
     """Every module with QUERIES and ORACLES."""
-    return [canonical, tokens]
+    return [canonical, names, tokens]
