@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vacantia.llm import canonical, names, nearcopies, tokens
+from vacantia.llm import canonical, languages, names, nearcopies, tokens
 
 
 def modules() -> list:
     """Every module with QUERIES and ORACLES."""
-    return [canonical, nearcopies, names, tokens]
+    return [canonical, nearcopies, names, languages, tokens]
