@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vacantia.llm import canonical, languages, names, nearcopies, quality, tokens
+from vacantia.llm import canonical, languages, names, nearcopies, packing, quality, tokens
 
 
 def modules() -> list:
     """Every module with QUERIES and ORACLES."""
-    return [canonical, nearcopies, names, languages, tokens, quality]
+    return [canonical, nearcopies, names, languages, tokens, packing, quality]
