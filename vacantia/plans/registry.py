@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantia.plans import snapshot_queries, text_queries
+from vacantia.plans import company_queries, snapshot_queries, text_queries
 
 
 def modules() -> list:
     """Every module of the core with QUERIES and ORACLES."""
-    return [text_queries, snapshot_queries]
+    return [company_queries, text_queries, snapshot_queries]
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """The query the smoke check runs."""
-    return snapshot_queries.p5_counts(spark, folder)
+    return company_queries.tier_counts(spark, folder)
