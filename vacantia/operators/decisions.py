@@ -50,16 +50,3 @@ def choose(scores: Column, least: float, single: float, pair: float) -> Column:
     both = F.slice(ranked, 1, 2)
     names = F.transform(F.when(-(first["o"] + second["o"]) >= pair, both).when(-first["o"] >= single, F.slice(ranked, 1, 1)), lambda s: s["name"])
     return F.coalesce(names, F.array().cast("array<string>"))
-
-
-def within_budget(texts: Column, budget: int, most: int) -> Column:
-    """The first texts, up to `most`, that still fit in a budget of characters; one that doesn't fit is skipped, not cut."""
-    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("kept"))
-
-    def step(state: Column, text: Column) -> Column:
-        fits = (F.size(state["kept"]) < most) & (state["used"] + F.length(text) <= budget)
-        return F.struct(
-            F.when(fits, state["used"] + F.length(text)).otherwise(state["used"]).alias("used"),
-            F.when(fits, F.concat(state["kept"], F.array(text))).otherwise(state["kept"]).alias("kept"))
-
-    return F.aggregate(texts, start, step, lambda s: s["kept"])

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vacantia.runtime import materialize
+
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The row of each key that is last by `order` (nulls first, ties by all other columns). Aggregated map-side."""
@@ -23,9 +25,23 @@ def examples(df: DataFrame, group: Sequence[str], distinct: Sequence[str], order
     return rows.withColumn("_rank", place).where(F.col("_rank") <= k)
 
 
-def running_rank(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """`rank`, from 0, of each row among those of its key: the turn it has in a fair queue."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
+def running_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """`rank`, from 0, of each row among those of its key, exact whatever the size of a key.
+
+    Rows are range-partitioned by key and order, so a key that holds a third of all rows lies in many partitions; each
+    partition counts its own rows of a key, and sums over the partitions before it give the ranks to start from. The
+    partitioned rows are written once, as a second evaluation might draw the ranges differently.
+    """
+    placed = materialize(df.repartitionByRange(*[F.asc_nulls_first(c) for c in (*keys, *order)]).withColumn("_p", F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy(*keys, "_p").agg(F.count("*").alias("_n")).withColumn("_s", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    own = Window.partitionBy("_p", *keys).orderBy(*[F.asc_nulls_first(c) for c in order])
+    numbered = placed.withColumn("_r", F.row_number().over(own) - 1).alias("x")
+    same = F.col("x._p") == F.col("y._p")
+    for k in keys:
+        same = same & F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}"))
+    joined = numbered.join(starts.alias("y"), same)
+    return joined.select(*[F.col(f"x.{c}").alias(c) for c in df.columns], (F.col("_r") + F.col("_s")).alias("rank"))
 
 
 def round_robin(df: DataFrame, stratum: str, key: str, seed: str, limit: int) -> DataFrame:
@@ -49,12 +65,31 @@ def audit_sample(df: DataFrame, group: str, closeness: Column, key: str, seed: s
     return marked.withColumn("_o", order).where(F.col("_o") <= most).drop("_near", "_o")
 
 
-def nearest_rank(df: DataFrame, group: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+def nearest_rank(df: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
     """Percentiles that are values of the data: the one at place floor(n * share) of the sorted group, from 0."""
-    w = Window.partitionBy(*group)
-    ranked = df.where(F.col(value).isNotNull()).select(*group, value, (F.row_number().over(w.orderBy(value)) - 1).alias("_i"), F.count("*").over(w).alias("_n"))
-    place = lambda share: F.least(F.floor(F.col("_n") * share), F.col("_n") - 1)
-    return ranked.groupBy(*group).agg(F.max("_n").alias("n"), *[F.max(F.when(F.col("_i") == place(s), F.col(value))).alias(name) for name, s in shares.items()])
+    ranked = running_rank(df.where(F.col(value).isNotNull()).select(group, value), [group], [value])
+    sizes = ranked.groupBy(group).agg(F.count("*").alias("n"))
+    rows = ranked.join(sizes, group)
+    place = lambda share: F.least(F.floor(F.col("n") * share), F.col("n") - 1)
+    return rows.groupBy(group).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("rank") == place(s), F.col(value))).alias(name) for name, s in shares.items()])
+
+
+def within_budget(df: DataFrame, key: str, order: str, size: str, budget: int, most: int) -> DataFrame:
+    """(key, order, size, place): the first rows of each key, up to `most`, that still fit in a budget.
+
+    A row that doesn't fit is passed over, not cut. Each place is one aggregation over all rows of the key, so a key of
+    any size is never gathered.
+    """
+    rows = df.select(key, order, size)
+    state = rows.where(F.col(size) <= budget).groupBy(key).agg(F.min(F.struct(order, size)).alias("_b")).select(key, F.col("_b")[order].alias(order), F.col("_b")[size].alias(size), F.lit(1).alias("place"), F.col("_b")[size].alias("_used"))
+    out = state
+    for n in range(2, most + 1):
+        last = state.select(F.col(key).alias("_k"), F.col(order).alias("_o"), "_used")
+        rest = rows.join(last, F.col(key) == F.col("_k")).where((F.col(order) > F.col("_o")) & (F.col(size) + F.col("_used") <= budget))
+        best = rest.groupBy(key).agg(F.min(F.struct(order, size, "_used")).alias("_b"))
+        state = best.select(key, F.col("_b")[order].alias(order), F.col("_b")[size].alias(size), F.lit(n).alias("place"), (F.col("_b._used") + F.col("_b")[size]).alias("_used"))
+        out = out.unionByName(state)
+    return out.drop("_used")
 
 
 def first_stop(df: DataFrame, run: str, order: Sequence[str], failed: str, refused: Column, streak: int, calls: int, share: float) -> DataFrame:

@@ -56,11 +56,10 @@ def _text_of(c: DataFrame) -> Column:
 
 
 def search(companies: DataFrame, ads: DataFrame, statuses: DataFrame, f: Filters, sources: DataFrame | None = None, places: DataFrame | None = None) -> DataFrame:
-    """A page of companies with status, opportunity_count, matching_roles, latest_posted and matching_ids.
+    """A page of companies with status, opportunity_count, matching_roles and latest_posted.
 
     `ads` has (id, company_id, day, locations, data). A text is looked for in the company or in an ad's payload; if ads
-    hold it, only those match. Ads are aggregated by company before the join, and the ids of matching ads are gathered
-    for the companies of the page alone.
+    hold it, only those count. Ads are aggregated by company before the join.
     """
     hit = like("data", f.text) if f.text else F.lit(False)
     filtered = role_filter(ads, f, sources, places).withColumn("hit", hit)
@@ -80,8 +79,15 @@ def search(companies: DataFrame, ads: DataFrame, statuses: DataFrame, f: Filters
     key, down = SORTS[f.sort]
     order = F.desc_nulls_last(key) if down else F.asc_nulls_first(key)
     page = rows.orderBy(order, F.asc_nulls_first("name_order"), "id").offset(max(f.offset, 0)).limit(min(max(f.limit, 1), 500))
-    shown = page.select("id", F.col("text_roles").alias("_t"))
-    own = filtered.join(shown.withColumnRenamed("id", "company_id"), "company_id").where((F.coalesce("_t", F.lit(0)) == 0) | F.col("hit"))
-    ids = own.groupBy("company_id").agg(F.array_join(F.array_sort(F.collect_set("id")), ",").alias("matching_ids"))
-    return page.join(ids.withColumnRenamed("company_id", "id"), "id", "left").select(
-        "id", "name", "status", F.coalesce("opportunity_count", F.lit(0)).alias("opportunity_count"), "matching_roles", "latest_posted", F.coalesce("matching_ids", F.lit("")).alias("matching_ids"))
+    return page.select("id", "name", "status", F.coalesce("opportunity_count", F.lit(0)).alias("opportunity_count"), "matching_roles", "latest_posted")
+
+
+def matching_ads(page: DataFrame, ads: DataFrame, f: Filters, sources: DataFrame | None = None, places: DataFrame | None = None) -> DataFrame:
+    """(company_id, id): the ads that answer a search, for the companies of a page; a row each, as a company may have any number.
+
+    Where ads of a company hold the text, only they match.
+    """
+    found = role_filter(ads, f, sources, places).withColumn("hit", like("data", f.text) if f.text else F.lit(False))
+    own = found.join(page.select(F.col("id").alias("company_id")), "company_id")
+    texts = own.groupBy(F.col("company_id").alias("c")).agg(F.bool_or("hit").alias("any_hit"))
+    return own.join(texts, F.col("company_id") == F.col("c")).where(~F.col("any_hit") | F.col("hit")).select("company_id", "id")

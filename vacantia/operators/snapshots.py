@@ -31,16 +31,18 @@ def latest_state(rows: DataFrame, keys: Sequence[str], snapshot: str, order: str
 
 
 def with_successor(states: DataFrame, snapshots: DataFrame, snapshot: str) -> DataFrame:
-    """`states` with `_next`, the number of the following delivery present (null for the last)."""
+    """`states` with `_next`, the number of the following delivery (null for the last), and `_later`, false for the first."""
     numbers = snapshots.select(snapshot).where(F.col(snapshot).isNotNull()).distinct()
     few = sorted(r[0] for r in numbers.limit(LITERAL_DELIVERIES + 1).collect())
-    if len(few) <= LITERAL_DELIVERIES:
-        following = F.array(*[F.lit(x) for x in few[1:]]) if len(few) > 1 else F.array().cast("array<int>")
-        at = F.array_position(F.array(*[F.lit(x) for x in few]), F.col(snapshot)) if few else F.lit(0)
-        place = at.cast("int")
-        return states.withColumn("_next", F.when((place > 0) & (place < len(few)), F.get(following, place - 1)))
-    order = numbers.withColumn("_next", F.lead(snapshot).over(Window.orderBy(snapshot)))
-    return states.join(order, snapshot, "left")
+    if len(few) > LITERAL_DELIVERIES:
+        by_number = Window.orderBy(snapshot)
+        order = numbers.select(snapshot, F.lead(snapshot).over(by_number).alias("_next"), (F.row_number().over(by_number) > 1).alias("_later"))
+        return states.join(order, snapshot, "left")
+    if not few:
+        return states.withColumn("_next", F.col(snapshot)).withColumn("_later", F.lit(False))
+    following = F.array(*[F.lit(x) for x in few[1:]]) if len(few) > 1 else F.array().cast("array<int>")
+    place = F.array_position(F.array(*[F.lit(x) for x in few]), F.col(snapshot)).cast("int")
+    return states.withColumn("_next", F.get(following, place - 1)).withColumn("_later", F.col(snapshot) > few[0])
 
 
 def snapshot_changes(
@@ -69,9 +71,7 @@ def snapshot_changes(
     )
     marks = ["_d", *[f"_l{i}" for i in range(len(lenient))]]
     states = with_successor(latest_state(slim, keys, snapshot, order, marks), rows, snapshot)
-    first = F.min(snapshot)
-    beginning = rows.agg(first.alias("_first"))
-    later = states.join(F.broadcast(beginning), F.col(snapshot) > F.col("_first")).select(
+    later = states.where("_later").select(
         snapshot, *keys, F.lit(True).alias("_new"), *[F.col(m).alias(f"{m}n") for m in marks])
     earlier = states.where(F.col("_next").isNotNull()).select(
         F.col("_next").alias(snapshot), *keys, F.lit(True).alias("_old"), *[F.col(m).alias(f"{m}o") for m in marks])

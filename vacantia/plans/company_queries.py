@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vacantia.functions import text as T
 from vacantia.operators import decisions as D
 from vacantia.operators.ranks import examples, latest
-from vacantia.operators.search import Filters, search
+from vacantia.operators.search import Filters, matching_ads, search
 from vacantia.plans.archive import SQL, ads, feedback
 from vacantia.runtime import table
 
@@ -42,6 +42,13 @@ def search_status(spark: SparkSession, folder: str) -> DataFrame:
     return _search(spark, folder, Filters(status="saved", sort="name", limit=500))
 
 
+def search_text_ads(spark: SparkSession, folder: str) -> DataFrame:
+    """(company_id, id): the ads that answer `search_text`."""
+    f = Filters(text="postgresql", sort="roles", limit=500)
+    rows = ads(spark, folder, "locations", "posted_at", keep=("company_id", "data")).withColumn("day", T.day("posted_at"))
+    return matching_ads(search(table(spark, folder, "companies"), rows, company_status(spark, folder), f), rows, f)
+
+
 def search_page(spark: SparkSession, folder: str) -> DataFrame:
     """The second page of all companies by last sight."""
     return _search(spark, folder, Filters(sort="recent", limit=20, offset=20))
@@ -77,9 +84,9 @@ def latest_feedback(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def saved_list(spark: SparkSession, folder: str) -> DataFrame:
-    """(company_id, whole, ads): companies that are saved, or that have saved ads."""
+    """(company_id, whole, ads): companies that are saved, or that have saved ads, and how many."""
     last = latest_feedback(spark, folder).where("status = 'saved'")
-    return last.groupBy("company_id").agg(F.bool_or(F.col("opportunity_id").isNull()).alias("whole"), F.array_join(F.array_sort(F.collect_set("opportunity_id")), ",").alias("ads"))
+    return last.groupBy("company_id").agg(F.bool_or(F.col("opportunity_id").isNull()).alias("whole"), F.countDistinct("opportunity_id").alias("ads"))
 
 
 def decision_metrics(spark: SparkSession, folder: str) -> DataFrame:
@@ -110,12 +117,24 @@ def feedback_append(spark: SparkSession, folder: str) -> DataFrame:
     return events.withColumn("_s", said).withColumn("_p", F.lag("_s").over(w)).where(F.col("_p").isNull() | (F.col("_p") != F.col("_s"))).select("id")
 
 
+#: Ads in one part of a company's document, about.
+DOCUMENT_ADS = 500
+
+
 def company_document(spark: SparkSession, folder: str) -> DataFrame:
-    """A nested document for each company: its columns, its ads, its standing decisions."""
-    c = table(spark, folder, "companies")
-    jobs = ads(spark, folder, "title", "source_url", "locations").groupBy("company_id").agg(F.array_sort(F.collect_list(F.struct("id", "title", "source_url", "locations"))).alias("ads"))
-    said = latest_feedback(spark, folder).groupBy("company_id").agg(F.array_sort(F.collect_list(F.struct("id", "opportunity_id", "status"))).alias("decisions"))
-    return c.join(jobs.withColumnRenamed("company_id", "id"), "id", "left").join(said.withColumnRenamed("company_id", "id"), "id", "left")
+    """Nested documents of each company: its columns, its ads, its standing decisions.
+
+    A company's document comes in parts of about DOCUMENT_ADS ads, so an agency with a third of all ads is many rows
+    of bounded size; decisions stand beside the ad they are on, those on the company in part 0.
+    """
+    jobs = ads(spark, folder, "title", "source_url", "locations")
+    said = latest_feedback(spark, folder).select("company_id", F.col("opportunity_id").alias("id"), F.col("status").alias("decision"))
+    parts = jobs.groupBy("company_id").agg(F.ceil(F.count("*") / DOCUMENT_ADS).alias("parts"))
+    dealt = jobs.join(parts, "company_id").withColumn("part", F.pmod(F.xxhash64("id"), "parts")).join(said.where("id is not null"), ["company_id", "id"], "left")
+    nested = dealt.groupBy("company_id", "part").agg(F.array_sort(F.collect_list(F.struct("id", "title", "source_url", "locations", "decision"))).alias("ads"))
+    whole = said.where("id is null").select("company_id", "decision")
+    c = table(spark, folder, "companies").withColumnRenamed("id", "company_id")
+    return c.join(nested, "company_id", "left").withColumn("part", F.coalesce("part", F.lit(0))).join(whole, "company_id", "left").withColumnRenamed("company_id", "id")
 
 
 def role_snapshot(spark: SparkSession, folder: str) -> DataFrame:
@@ -163,7 +182,7 @@ def first_titles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    company_status, search_text, search_same_row, search_status, search_page, tier_verdicts, tier_counts, latest_feedback, saved_list, decision_metrics, discard_reasons, proposals_having,
+    company_status, search_text, search_same_row, search_status, search_text_ads, search_page, tier_verdicts, tier_counts, latest_feedback, saved_list, decision_metrics, discard_reasons, proposals_having,
     feedback_append, company_document, role_snapshot, basis_fingerprint, archive_versions, longest_description, best_company_text, first_titles)}
 
 _STATUS = "statuses as (select company_id, status from (select *, row_number() over (partition by company_id order by id desc) as k from events_log where opportunity_id is null and undone_at is null) where k = 1)"
@@ -181,7 +200,7 @@ def _search_sql(text: str, role: str, company: str, order: str, page: str, roles
         n.latest_posted, coalesce(n.text_roles, 0) as text_roles from companies c left join n on n.company_id = c.id left join e on e.company_id = c.id left join statuses s on s.company_id = c.id
         where ({own} or coalesce(n.text_roles, 0) > 0) and {company} {'and coalesce(n.roles, 0) > 0' if roles_needed else ''}),
       p as (select * from r order by {order}, lower(name) nulls first, id {page})
-      select p.id, p.name, p.status, p.opportunity_count, p.matching_roles, p.latest_posted, coalesce((select string_agg(f.id, ',' order by f.id) from f where f.company_id = p.id and (p.text_roles = 0 or f.hit)), '') as matching_ids from p"""
+      select p.id, p.name, p.status, p.opportunity_count, p.matching_roles, p.latest_posted from p"""
 
 
 _TIERS = """select c_custkey, case when axis = 'yes' and coalesce(keeps, false) then 'A' when axis = 'yes' then 'B-attesa' when coalesce(prim, false) then 'B-esperienza' when axis = 'missing' then 'evidenza-mancante' else 'scarto' end as tier
@@ -190,13 +209,15 @@ _TIERS = """select c_custkey, case when axis = 'yes' and coalesce(keeps, false)
 ORACLES = {
     "company_status": f"{SQL}, {_STATUS} select * from statuses",
     "search_text": _search_sql("postgresql", "true", "true", "matching_roles desc", "limit 500", False),
+    "search_text_ads": _search_sql("postgresql", "true", "true", "matching_roles desc", "limit 500", False).replace(
+        "select p.id, p.name, p.status, p.opportunity_count, p.matching_roles, p.latest_posted from p", "select f.company_id, f.id from p join f on f.company_id = p.id where p.text_roles = 0 or f.hit"),
     "search_same_row": _search_sql("", "lower(cast(to_json(locations) as varchar)) like '%italia%' and (day is null or day >= '2026-03-01') and id in (select opportunity_id from observations where lower(trim(source)) = 'boardnova')", "true", "latest_posted desc nulls last", "limit 500", True),
     "search_status": _search_sql("", "true", "coalesce(s.status, 'new') = 'saved'", "lower(name) nulls first", "limit 500", False),
     "search_page": _search_sql("", "true", "true", "last_seen desc nulls last", "limit 20 offset 20", False),
     "tier_verdicts": _TIERS,
     "tier_counts": f"select tier, count(*) as companies from ({_TIERS}) group by 1",
     "latest_feedback": f"{SQL}, {_LATEST} select company_id, opportunity_id, id, status, reason from last",
-    "saved_list": f"{SQL}, {_LATEST} select company_id, bool_or(opportunity_id is null) as whole, coalesce(string_agg(distinct opportunity_id, ',' order by opportunity_id), '') as ads from last where status = 'saved' group by 1",
+    "saved_list": f"{SQL}, {_LATEST} select company_id, bool_or(opportunity_id is null) as whole, count(distinct opportunity_id) as ads from last where status = 'saved' group by 1",
     "decision_metrics": f"{SQL}, {_STATUS} select count(*) filter (status = 'saved') as kept, count(*) filter (status = 'discarded') as discarded, round(count(*) filter (status = 'saved') / nullif(count(*) filter (status in ('saved', 'discarded')), 0), 6) as share from statuses",
     "discard_reasons": f"{SQL}, {_LATEST} select reason, count(distinct company_id) as companies from last where status = 'discarded' group by 1",
     "proposals_having": f"{SQL}, {_LATEST} select sector, count(*) as companies from (select id, {_CLEAN} as sector from companies) where coalesce(sector, '') <> '' and id in (select company_id from last where status = 'discarded') group by 1 having count(*) >= 3",

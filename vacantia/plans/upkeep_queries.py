@@ -26,9 +26,9 @@ def _closures(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     seen = _seen(spark, folder)
     day = ads(spark, folder, "posted_at").select("id", "company_id", T.day("posted_at").alias("day"))
     closed = feedback(spark, folder).where("status = 'discarded' and opportunity_id is not null").select(F.col("opportunity_id").alias("id")).distinct()
-    start = seen.agg((F.max("delivered_at") - F.expr("interval 7 days")).alias("started"))
+    start = seen.agg(F.max("delivered_at") - F.expr("interval 7 days")).first()[0]
     hours = F.when(F.col("source").startswith("ats"), F.lit(None).cast("int")).otherwise(F.lit(WEEKS))
-    sources = seen.select("source").distinct().withColumn("hours", hours).crossJoin(F.broadcast(start))
+    sources = seen.select("source").distinct().withColumn("hours", hours).withColumn("started", F.lit(start))
     return U.closures(seen, day, closed, sources, 0.5)
 
 
@@ -142,7 +142,7 @@ def dup_exact(spark: SparkSession, folder: str) -> DataFrame:
 def fair_queue(spark: SparkSession, folder: str) -> DataFrame:
     """(id, rank): ads without text in the order they are to be fetched, one of each company before a second of any."""
     a = ads(spark, folder, "description").where(T.clean("description") == "").select("id", "company_id")
-    return running_rank(a, "company_id", ["id"]).select("id", "rank")
+    return running_rank(a, ["company_id"], ["id"]).select("id", "rank")
 
 
 def excluded_companies(spark: SparkSession, folder: str) -> DataFrame:
