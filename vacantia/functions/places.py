@@ -39,7 +39,7 @@ def resolve(raws: DataFrame, raw: str, aliases: DataFrame) -> DataFrame:
     runs = F.flatten(F.transform("w", lambda x, i: F.transform(
         F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.size("w") - i)),
         lambda n: F.struct(F.array_join(F.slice("w", i + 1, n), " ").alias("words"), i.alias("at"), F.lit(False).alias("segment")))))
-    parts = F.transform("s", lambda x, i: F.struct(x.alias("words"), (i + 1000).alias("at"), F.lit(True).alias("segment")))
+    parts = F.transform("s", lambda x: F.struct(x.alias("words"), (F.size("w") - F.array_position(F.reverse("w"), x)).cast("int").alias("at"), F.lit(True).alias("segment")))
     said = cut.select("raw", F.explode(F.concat(runs, parts)).alias("x")).select("raw", "x.*")
     hits = said.join(aliases, "words").where(F.col("segment") == F.col("short"))
     whole = said.where("segment").groupBy("raw").agg(F.count("*").alias("n"))
