@@ -127,3 +127,13 @@ def test_grounding(spark):
     asked = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "batch int, id string")
     said = spark.createDataFrame([(1, "a", 0, True), (1, "a", 1, True), (1, "b", 2, True), (2, "c", 0, False), (2, "z", 1, True)], "batch int, id string, pos int, valid boolean")
     assert {tuple(r) for r in G.batches(asked, said).collect()} == {(1, True, 0, 0), (2, False, 1, 1)}
+
+
+def test_employer_sentences(spark):
+    from vacantia.operators.evidence import employer_sentences
+
+    text = "<p>We build pumps. You are great.</p><p>Acme (X) is a leading provider of water. We are looking for a manufacturer. We are excited. We build pumps.</p><p>Our company provides equal opportunity.</p>"
+    ads = spark.createDataFrame([("2", "c", text), ("1", "c", "We build pumps."), ("3", "d", None)], "id string, company_id string, description string")
+    companies = spark.createDataFrame([("c", "Acme (X)"), ("d", None)], "id string, name string")
+    got = {(r.company_id, r.text, r.id) for r in employer_sentences(ads, companies).collect()}
+    assert got == {("c", "We build pumps.", "1"), ("c", "Acme (X) is a leading provider of water.", "2")}

@@ -10,6 +10,7 @@ from vacantia.functions.fold import fold
 from vacantia.functions.html import html_lines
 from vacantia.functions.places import alias_table, resolve
 from vacantia.operators import upkeep as U
+from vacantia.operators.evidence import employer_sentences as told_by
 from vacantia.operators.ranks import examples, latest, running_rank
 from vacantia.plans.archive import SQL, ads, feedback
 from vacantia.plans.company_queries import _DAY
@@ -180,9 +181,14 @@ def title_examples(spark: SparkSession, folder: str) -> DataFrame:
     return examples(a, ["source"], ["company_id"], ["id"], 3).select("source", "title", "company_id")
 
 
+def employer_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    """(company_id, text, id): what companies say about themselves in their ads."""
+    return told_by(ads(spark, folder, "description"), table(spark, folder, "companies"))
+
+
 QUERIES = {f.__name__: f for f in (
     closure_detect, closure_shares, observation_fold, ingest_upsert, company_resolution, ingest_normalize, freshness_stale, refresh_equivalence, place_resolve, place_options, places_unmapped, place_labels,
-    source_quality, dup_groups, dup_exact, fair_queue, excluded_companies, protected_rows, reset_rows, wanted_written, title_examples)}
+    source_quality, dup_groups, dup_exact, fair_queue, excluded_companies, protected_rows, reset_rows, wanted_written, title_examples, employer_sentences)}
 
 _SEEN = "seen as (select opportunity_id as id, lower(trim(source)) as source, source_url, observed_at as seen_at, delivered_at, snapshot_no, lower(content_hash) as content_hash from observations)"
 _CLOSE = f"""{SQL}, {_SEEN}, st as (select max(delivered_at) - interval 7 day as started from seen), cl as (select distinct opportunity_id as id from events_log where status = 'discarded' and opportunity_id is not null),
