@@ -54,23 +54,35 @@ def deletes(text: str, most: int) -> set[str]:
 
 
 def distance(a: str, b: str, most: int) -> tuple[int, float] | None:
-    """(mistakes, weight) between two spellings, a swap of neighbours being one mistake; None beyond `most`."""
+    """(mistakes, weight) between two spellings; None beyond `most`.
+
+    Damerau-Levenshtein distance without restriction: a swap of neighbours is one mistake, also where another letter has
+    come between them or gone from there. The weight counts look-alikes half and swaps three quarters.
+    """
     if abs(len(a) - len(b)) > most:
         return None
-    before: list = []
-    row = [(j, float(j)) for j in range(len(b) + 1)]
-    for i, x in enumerate(a, 1):
-        older, before, row = before, row, [(i, float(i))]
-        for j, y in enumerate(b, 1):
-            c, w = before[j - 1]
+    n, m = len(a), len(b)
+    far = (n + m, float(n + m))
+    table = [[far] * (m + 2)] + [[far] + [(j, float(j)) for j in range(m + 1)]] + [[far, (i, float(i))] + [far] * m for i in range(1, n + 1)]
+    last_row: dict[str, int] = {}
+    for i in range(1, n + 1):
+        x, last_column = a[i - 1], 0
+        above, row = table[i], table[i + 1]
+        for j in range(1, m + 1):
+            y = b[j - 1]
+            c, w = above[j]
             best = (c, w) if x == y else (c + 1, w + (0.5 if frozenset((x, y)) in _ALIKE else 1.0))
-            best = min(best, (before[j][0] + 1, before[j][1] + 1), (row[-1][0] + 1, row[-1][1] + 1))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y and x != y:
-                best = min(best, (older[j - 2][0] + 1, older[j - 2][1] + 0.75))
-            row.append(best)
-        if min(row)[0] > most:
-            return None
-    return row[-1] if row[-1][0] <= most else None
+            best = min(best, (above[j + 1][0] + 1, above[j + 1][1] + 1), (row[j][0] + 1, row[j][1] + 1))
+            k, l = last_row.get(y, 0), last_column
+            if k and l:
+                gaps = i - k - 1 + j - l - 1
+                c, w = table[k][l]
+                best = min(best, (c + gaps + 1, w + gaps + 0.75))
+            if x == y:
+                last_column = j
+            row[j + 1] = best
+        last_row[x] = i
+    return table[n + 1][m + 1] if table[n + 1][m + 1][0] <= most else None
 
 
 @dataclass(frozen=True)
