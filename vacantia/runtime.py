@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,23 @@ def session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkS
     )
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once for each application, so that they find it wherever they run."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    here = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="vacantia-")) / "vacantia.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as package:
+        for source in sorted(here.rglob("*.py")):
+            package.write(source, Path("vacantia") / source.relative_to(here))
+    context.addPyFile(str(path))
+    _shipped.add(context.applicationId)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the archive's parquet tables."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
