@@ -65,6 +65,13 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` over all cores, for a step whose work is far larger than its bytes: those alone would make few tasks of it."""
+    spark = df.sparkSession
+    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)
+
+
 def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
