@@ -65,11 +65,13 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """`df` over all cores, for a step whose work is far larger than its bytes: those alone would make few tasks of it."""
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores, for a step whose work is far larger than its bytes: those alone would make few tasks of it.
+
+    Without keys, as a repartition by the keys of the aggregation before it would be optimized away.
+    """
     spark = df.sparkSession
-    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(n, *keys)
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
