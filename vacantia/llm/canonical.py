@@ -231,7 +231,7 @@ def _resolve(values: DataFrame, text: str, aliases: tuple[Alias, ...], often: di
             refs = [decide(words.candidates(v), often) for v in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(refs, pa.int32()), b.column(1)], names=[text, "ref", "n"])
 
-    return spread(values.select(text, "n"), text).mapInArrow(run, f"`{text}` string, ref int, n long")
+    return spread(values.select(text, "n")).mapInArrow(run, f"`{text}` string, ref int, n long")
 
 
 _FIELDS = ("ref", "grp", "form", "mistakes", "weight", "length", "position", "whole")
@@ -246,7 +246,7 @@ def _candidates(values: DataFrame, text: str, aliases: tuple[Alias, ...]) -> Dat
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, _KIND)], names=[text, "n", "found"])
 
     shape = "ref:int,grp:int,form:string,mistakes:int,weight:double,length:int,position:int,whole:int"
-    return spread(values.select(text, "n"), text).mapInArrow(run, f"`{text}` string, n long, found array<struct<{shape}>>")
+    return spread(values.select(text, "n")).mapInArrow(run, f"`{text}` string, n long, found array<struct<{shape}>>")
 
 
 def place_aliases(spark: SparkSession, folder: str) -> DataFrame:
