@@ -60,3 +60,23 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "id string, text string")
     members, links, classes = near_copies(df, "id", F.col("text"))
     assert members.count() == links.count() == classes.count() == 0
+
+
+def check_links(spark, texts, low, high):
+    """The links of `texts` are those of brute force, of which there are some from `low` to `high`."""
+    df = spark.createDataFrame(list(texts.items()), "id string, text string")
+    members, links, _ = near_copies(df, "id", F.col("text"), size=3, threshold=0.5, least=60)
+    key = dict(members.collect())
+    got = {frozenset((r.a, r.b)) for r in links.collect()}
+    sets = {i: {tuple(w[j : j + 3]) for j in range(len(w) - 2)} for i, w in ((i, t.split()) for i, t in texts.items())}
+    near = {(x, y): len(sets[x] & sets[y]) / len(sets[x] | sets[y]) for x in texts for y in texts if x < y}
+    assert sum(low <= j < high for j in near.values()) > 20
+    assert got == {frozenset((key[x], key[y])) for (x, y), j in near.items() if j >= 0.5 and key[x] != key[y]}
+
+
+def test_hot_group_of_loosely_edited_copies_is_found_whole(spark):
+    draw = random.Random(7)
+    base = draw.choices(VOCABULARY, k=120)
+    texts = {f"h{i:03}": " ".join(edit(draw, base, 0.038)) for i in range(120)}
+    texts |= {f"o{i:03}": " ".join(draw.choices(VOCABULARY, k=120)) for i in range(240)}
+    check_links(spark, texts, 0.6, 0.7)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import html
-import math
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -14,22 +13,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm.darts import band_keys, mix, signatures
+from vacantia.llm.darts import mix
 from vacantia.operators.components import connected_components
 from vacantia.runtime import materialize, table
 
 _TAG = re.compile(r"<[^>]*>")
 _WORD = re.compile(r"[^\W_]+")
-#: A shingle in a smaller share of all texts is as rare as any; at most (shingles a text) / RARE shingles are listed.
-RARE = 1 / 1000
-#: Weight of the rarest shingle: the width of the darts' first two cells.
-TOP_WEIGHT = 3.0
-#: Least weight. A group of near copies may hold a third of all texts, and then its own shingles count as common; the
-#: floor keeps their edits from outweighing what they share.
-LEAST_WEIGHT = 0.5
-#: Members up to which a bucket's pairs are written out; larger ones are met by rounds of leaders.
-FEW = 32
-LEADER_ROUNDS = 3
+#: Different texts in a block, about; each two blocks are compared in one task.
+BLOCK = 25_000
+#: Meetings of two texts in a shingle that are counted at once.
+STEP = 4_000_000
 
 
 def words_of(text: str) -> list[str]:
@@ -88,101 +81,95 @@ def shingled(df: DataFrame, key: str, text: Column, size: int, least: int) -> Da
     return rows.mapInArrow(run, "id string, key long, grams array<int>")
 
 
-def frequent(sets: DataFrame, texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, weights) of those in at least a `RARE` share of all texts.
-
-    Counted over all texts with map-side sums. As each text holds so many shingles only, no more than (mean shingles) /
-    RARE of them can be that frequent, however large the corpus: that bounds what comes to the driver.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            g, n = np.unique(b.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n)], names=["g", "n"])
-
-    counted = sets.select("grams").mapInArrow(run, "g int, n long").groupBy("g").agg(F.sum("n").alias("n"))
-    found = counted.where(F.col("n") >= max(2, math.ceil(RARE * texts))).toArrow()
-    g = found.column("g").to_numpy().astype(np.int32).view(np.uint32)
-    order = np.argsort(g)
-    return g[order], _weight(texts / found.column("n").to_numpy()[order], texts)
+def _shared(g: np.ndarray, ends: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many of its shingles each set of `x` shares with that of `y`; set i is the n[i] numbers of `g` before ends[i]."""
+    out = np.zeros(len(x), np.int64)
+    for at in range(0, len(x), 2000):
+        both = np.stack([x[at : at + 2000], y[at : at + 2000]], 1).ravel()
+        size = n[both]
+        place = np.arange(size.sum()) + np.repeat(ends[both] - np.cumsum(size), size)
+        rows = np.sort((np.repeat(np.arange(len(both)) // 2, size) << 32) | g[place])
+        out[at : at + 2000] += np.bincount(rows[1:][rows[1:] == rows[:-1]] >> 32, minlength=len(both) // 2)
+    return out
 
 
-def _weight(rarity: np.ndarray | float, texts: int) -> np.ndarray:
-    """Squared logarithm of rarity, from LEAST_WEIGHT for the shingles of nearly every text to TOP_WEIGHT for the rarest."""
-    most = math.log(max(2.0, min(1 / RARE, texts)))
-    return np.maximum(TOP_WEIGHT * np.minimum(1.0, np.log(rarity) / most) ** 2, LEAST_WEIGHT)
+def close_pairs(g: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y): all sets of `left` and of `right` that share at least `threshold` of all their shingles; none is left out.
 
-
-def banded(sets: DataFrame, texts: int, listed: tuple[np.ndarray, np.ndarray], bands: int, rows: int) -> DataFrame:
-    """(bucket, key): the band keys of each set's DartMinHash signature; copies within a partition only once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, weights = listed
-        rarest = float(_weight(float(max(2.0, texts)), texts))
-        seen: set[int] = set()
-        for b in batches:
-            keys = b.column(0).to_numpy()
-            fresh = np.array([k not in seen and not seen.add(k) for k in keys.tolist()], dtype=bool)
-            at = np.flatnonzero(fresh)
-            for part in np.array_split(at, max(1, len(at) // 1000)):
-                lists = b.column(1).take(pa.array(part))
-                g = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint32)
-                owner = np.repeat(np.arange(len(part)), np.diff(lists.offsets.to_numpy()))
-                w = np.full(len(g), rarest)
-                if len(names) and len(g):
-                    i = np.minimum(np.searchsorted(names, g), len(names) - 1)
-                    w = np.where(names[i] == g, weights[i], rarest)
-                sig = signatures(mix(g.astype(np.uint64) + np.uint64(1)), owner, w, len(part), bands * rows)
-                buckets = band_keys(sig, rows)
-                yield pa.RecordBatch.from_arrays([pa.array(buckets.ravel()), pa.array(np.repeat(keys[part], bands))], names=["bucket", "key"])
-
-    return sets.select("key", "grams").mapInArrow(run, "bucket long, key long")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): the pairs whose sets share at least `threshold` of all their shingles, counted exactly."""
-    left = sets.select(F.col("key").alias("a"), F.col("grams").alias("ga"))
-    right = sets.select(F.col("key").alias("b"), F.col("grams").alias("gb"))
-    shared = F.size(F.array_intersect("ga", "gb"))
-    close = shared >= threshold * (F.size("ga") + F.size("gb") - shared)
-    return pairs.join(left, "a").join(right, "b").where(close).select("a", "b")
-
-
-def _within(rows: DataFrame) -> DataFrame:
-    """(a, b), a < b: all pairs of keys in a bucket."""
-    left, right = rows.alias("l"), rows.alias("r")
-    meet = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.key") < F.col("r.key"))
-    return left.join(right, meet).select(F.col("l.key").alias("a"), F.col("r.key").alias("b"))
-
-
-def linked(sets: DataFrame, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
-    """((a, b) of linked keys, (key, grams) of the keys that share a bucket).
-
-    Buckets of up to FEW keys give all their pairs. In a larger one every key meets the bucket's smallest; those that
-    aren't close to it go on to the next round with a leader of their own, and what is left after the last round gives
-    all its pairs. So a bucket of a million near copies costs a million comparisons, and none is left out.
+    Sets lie in `g` one after the other, n[i] different shingles each. With the rarest first, close sets share one of
+    the first n - threshold * n + 1 of either. Those shared are counted; with all that may follow in the set whose first
+    ones end sooner they must reach what the threshold asks for. What is left is counted whole.
+    """
+    owner = np.repeat(np.arange(len(n)), n)
+    _, g, often = np.unique(g, return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    g = np.sort((owner << 32) | rank[g]) & 0xFFFFFFFF
+    ends = np.cumsum(n)
+    first = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+    first = np.minimum(first, n)
+    last = g[ends - n + first - 1] if len(n) else n
+    begins = np.arange(len(g)) - (ends - n)[owner] < first[owner]
+    place = np.full(len(n), -1)
+    place[right] = np.arange(len(right))
+    posted = np.flatnonzero(begins & (place[owner] >= 0))
+    posted = posted[np.argsort(g[posted], kind="stable")]
+    holder = place[owner[posted]]
+    start = np.searchsorted(g[posted], np.arange(len(often) + 1))
+    asked = threshold / (1 + threshold)
+    lists = np.diff(start)
+    work = np.add.reduceat(np.where(begins, lists[g], 0), ends - n) if len(n) else n
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    done = np.cumsum(work[left])
+    at = 0
+    while at < len(left):
+        to = max(at + 1, min(at + 256, int(np.searchsorted(done, (done[at - 1] if at else 0) + STEP))))
+        some = left[at:to]
+        size = first[some]
+        rows = np.arange(size.sum()) + np.repeat((ends - n)[some] - (np.cumsum(size) - size), size)
+        count = lists[g[rows]]
+        hits = np.arange(count.sum()) + np.repeat(start[g[rows]] - (np.cumsum(count) - count), count)
+        met = np.bincount(np.repeat(np.repeat(np.arange(len(some)), size) * len(right), count) + holder[hits], minlength=0)
+        cells = np.flatnonzero(met)
+        x, y = some[cells // len(right)], right[cells % len(right)]
+        rest = np.where(last[x] <= last[y], n[x] - first[x], n[y] - first[y])
+        able = (x != y) & (met[cells] + rest >= asked * (n[x] + n[y]) - 1e-9)
+        x, y = x[able], y[able]
+        shared = _shared(g, ends, n, x, y)
+        close = shared >= threshold * (n[x] + n[y] - shared)
+        found.append((x[close], y[close]))
+        at = to
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def linked(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: all pairs of keys whose sets share at least `threshold` of all their shingles.
+
+    Keys are dealt into blocks of about BLOCK by hash, and every block meets every block in a task of its own. So a task
+    is bounded, no pair depends on chance, on rarity or on how many share a shingle, and only links come out; but blocks
+    are sent as often as there are blocks, and work grows with the square of the different texts.
     """
-    texts = sets.count()
-    every = banded(sets, texts, frequent(sets, texts), bands, rows).repartition("bucket")
-    live = every.groupBy("bucket").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x < y")
-    shared = every.join(live.select(F.col("bucket").alias("live")), F.col("bucket") == F.col("live"), "left_semi")
-    crowd = materialize(shared.distinct())
-    size = crowd.groupBy("bucket").agg(F.count("*").alias("n"))
-    near = materialize(sets.join(crowd.select("key").distinct(), "key", "left_semi").select("key", "grams").dropDuplicates(["key"]))
-    sized = crowd.join(size, "bucket")
-    pairs = _within(sized.where(F.col("n") <= FEW).select("bucket", "key")).distinct()
-    links = verified(pairs, near, threshold)
-    rest = sized.where(F.col("n") > FEW).select("bucket", "key")
-    for _ in range(LEADER_ROUNDS):
-        rest = materialize(rest)
-        if rest.isEmpty():
-            return links, near
-        led = rest.join(rest.groupBy("bucket").agg(F.min("key").alias("a")), "bucket").where("key > a")
-        close = materialize(verified(led.select("a", F.col("key").alias("b")).distinct(), near, threshold))
-        links = links.union(close)
-        done = close.withColumnRenamed("b", "key")
-        rest = led.join(done, ["a", "key"], "left_anti").select("bucket", "key")
-    return links.union(verified(_within(rest).distinct(), near, threshold)), near
+    blocks = max(1, -(-sets.count() // BLOCK))
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        keys, block = rows.column("key").to_numpy(), rows.column("block").to_numpy()
+        lists = rows.column("grams").combine_chunks()
+        g, n = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy().astype(np.int64)
+        low, high = (int(block.min()), int(block.max())) if len(keys) else (0, 0)
+        task = int(rows.column("task")[0].as_py())
+        if low == high and task != low * blocks + low:
+            x = y = np.zeros(0, np.int64)
+        else:
+            x, y = close_pairs(g, n, np.flatnonzero(block == low), np.flatnonzero(block == high), threshold)
+        a, b = np.minimum(keys[x], keys[y]), np.maximum(keys[x], keys[y])
+        once = (low != high) | (keys[x] < keys[y])
+        return pa.table({"a": pa.array(a[once], pa.int64()), "b": pa.array(b[once], pa.int64())})
+
+    dealt = sets.select("key", "grams", F.pmod("key", F.lit(blocks)).cast("int").alias("block"))
+    other = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    task = F.least("block", "other") * blocks + F.greatest("block", "other")
+    return other.select("key", "grams", "block", task.alias("task")).groupBy("task").applyInArrow(run, "a long, b long")
 
 
 def near_copies(
@@ -191,21 +178,14 @@ def near_copies(
     """(members (id, key), links (a, b), classes (key, component)) of near copies.
 
     Two texts of at least `least` words are linked if the Jaccard similarity of their distinct runs of `size` words is
-    at least `threshold`. Candidates share a band of their rarity-weighted DartMinHash signatures; every link is checked
-    exactly. Within a component, pairs that shared no band are checked too, so a class's links are complete. Null ids
-    and null texts take no part, nor do texts with fewer words; repeated rows of an id count once; texts of the same
-    shingles are one key, whose copies are never paired here. The result doesn't depend on other columns of `df`.
+    at least `threshold`. Blocks of texts are compared with each other whole, by a prefix filter that leaves no such
+    pair out, so the links are complete. Null ids and null texts take no part, nor do texts with fewer words; repeated
+    rows of an id count once; texts of the same shingles are one key, whose copies are never paired here. The result doesn't depend on other columns of `df`.
     """
-    sets = materialize(shingled(df, key, text, size, least))
-    first, near = linked(sets, threshold, bands, rows)
-    links = materialize(first.distinct())
+    every = materialize(shingled(df, key, text, size, least))
+    links = materialize(linked(materialize(every.select("key", "grams").dropDuplicates(["key"])), threshold))
     classes = materialize(connected_components(links))
-    left, right = classes.alias("l"), classes.alias("r")
-    inside = left.join(right, (F.col("l.component") == F.col("r.component")) & (F.col("l.node") < F.col("r.node")))
-    missing = inside.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).join(links, ["a", "b"], "left_anti")
-    whole = links.union(verified(missing, near, threshold))
-    members = sets.select("id", "key").distinct()
-    return members, whole, classes.withColumnRenamed("node", "key")
+    return every.select("id", "key").distinct(), links, classes.withColumnRenamed("node", "key")
 
 
 def description() -> Column:
