@@ -80,3 +80,14 @@ def test_hot_group_of_loosely_edited_copies_is_found_whole(spark):
     texts = {f"h{i:03}": " ".join(edit(draw, base, 0.038)) for i in range(120)}
     texts |= {f"o{i:03}": " ".join(draw.choices(VOCABULARY, k=120)) for i in range(240)}
     check_links(spark, texts, 0.6, 0.7)
+
+
+def test_chain_through_a_copy_of_the_leader_is_kept(spark):
+    draw = random.Random(11)
+    core = draw.choices(VOCABULARY, k=60)
+    texts = {}
+    for i in range(45):
+        y = core + draw.choices(VOCABULARY, k=14)
+        texts[f"y{i:02}"] = " ".join(y)
+        texts[f"x{i:02}"] = " ".join(draw.choices(VOCABULARY, k=16) + y[16:])
+    check_links(spark, texts, 0.55, 0.7)
