@@ -91,3 +91,14 @@ def test_chain_through_a_copy_of_the_leader_is_kept(spark):
         texts[f"y{i:02}"] = " ".join(y)
         texts[f"x{i:02}"] = " ".join(draw.choices(VOCABULARY, k=16) + y[16:])
     check_links(spark, texts, 0.55, 0.7)
+
+
+def test_pairs_with_boilerplate_of_a_tenth_of_all_texts_are_found(spark):
+    draw = random.Random(13)
+    boilerplate = draw.choices(VOCABULARY, k=60)
+    texts = {f"o{i:03}": " ".join(draw.choices(VOCABULARY, k=110)) for i in range(540)}
+    for i in range(30):
+        own = draw.choices(VOCABULARY, k=50)
+        for c in "ab":
+            texts[f"{c}{i:02}"] = " ".join(boilerplate + edit(draw, own, 0.17 * (c == "b")))
+    check_links(spark, texts, 0.5, 0.8)

@@ -173,7 +173,7 @@ def linked(sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_copies(
-    df: DataFrame, key: str, text: Column, size: int = 5, threshold: float = 0.8, least: int = 0, bands: int = 40, rows: int = 5,
+    df: DataFrame, key: str, text: Column, size: int = 5, threshold: float = 0.8, least: int = 0,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members (id, key), links (a, b), classes (key, component)) of near copies.
 
