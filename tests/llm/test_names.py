@@ -35,6 +35,16 @@ def test_crowded_word_still_finds_variants(spark):
     assert any({"0007", "z"} <= g for g in groups)
 
 
+def test_links_do_not_depend_on_how_many_share_a_word(spark, monkeypatch):
+    draw = random.Random(2)
+    names = sorted({"".join(draw.choice(["ba", "ke", "lo", "mi", "ru", "tan", "vel", "zor"]) for _ in range(5)) for _ in range(230)})
+    rows = [(f"{i:04}", f"{h} Hotword") for i, h in enumerate(names)]
+    rows += [("p", "Hotword Rinsobel"), ("q", "Hotword Rilsotel"), ("r", "Hotword Aquamilo Rilsotel"), ("s", "Hotword Hotwird"), ("t", "Hotwort Hotword")]
+    crowded = grouped(spark, rows)
+    monkeypatch.setattr("vacantia.llm.names.CROWDED", 10**9)
+    assert crowded == grouped(spark, rows) and {"p", "q", "r"} in crowded and {"s", "t"} in crowded
+
+
 def test_parts():
     assert distinctive("José María Lemerquendil Sosaga & F.gli S.p.A.") == ["lemerquendil", "sosaga"]
     assert distinctive("R&D Pelteltale Botaga Sp. z o.o. Deutschland") == ["botaga", "pelteltale"]

@@ -45,7 +45,7 @@ GENERIC = LEGAL | TRADE | BRANCH | GIVEN
 _SOUNDS = str.maketrans({**dict.fromkeys("bp", "B"), **dict.fromkeys("dt", "D"), **dict.fromkeys("gkcqj", "K"), **dict.fromkeys("fvw", "F"), **dict.fromkeys("szx", "S"), **dict.fromkeys("mn", "N"), "l": "L", "r": "R", **dict.fromkeys("aeiouhy", None)})
 _DOTTED = regex.compile(r"\b((?:\p{L}\.){2,}\p{L}?)")
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
-#: A block of more distinct names than this is divided by what stands beside the shared word.
+#: A shared word of more distinct names than this has its block divided by what stands beside it, without losing a pair.
 CROWDED = 200
 
 
@@ -71,8 +71,20 @@ def _shortened(text: str) -> set[str]:
     return {text} | {text[:i] + text[i + 1 :] for i in range(len(text))}
 
 
-def blocks(words: list[str]) -> list[tuple[str, str]]:
-    """(key, what to divide a crowded block by) under which a name is compared; the key's first letter is its kind.
+def beside(words: list[str], shared: str) -> set[str]:
+    """What the crowded block of a shared word is divided by; any two names in it that `same` links have some in common.
+
+    The other words with up to two letters left out: `same` links them by a word beside the shared one, within the
+    mistakes that `word_distance` allows. It may also take the shared word itself for one of the others, but then both
+    names have a word that is nearly the shared one; those meet under a star.
+    """
+    others = [w for w in words if w != shared]
+    found = {x for w in others for y in _shortened(w) for x in (_shortened(y) if len(w) > 3 else (y,))}
+    return found | {"*"} if any(word_distance(w, shared) is not None for w in others) else found
+
+
+def blocks(words: list[str]) -> list[str]:
+    """The keys under which a name is compared; the first letter is the kind.
 
     c: the phonetic codes of two words in order, each whole or with one consonant left out, so that one wrong consonant
     in each doesn't hide a name. w: a word as it is, so that any mistakes in the others don't. d: a word with one letter
@@ -82,16 +94,16 @@ def blocks(words: list[str]) -> list[tuple[str, str]]:
     if words[0][0] == "=":
         return []
     codes = [code(w) for w in words]
-    keys = {(f"d{x}", "") for w in words for x in _shortened(w)}
+    keys = {f"d{x}" for w in words for x in _shortened(w)}
     if len(words) == 1:
         if len(words[0]) >= 10:
-            keys |= {(f"j{codes[0][:5]}", ""), (f"j-{codes[0][-5:]}", "")}
+            keys |= {f"j{codes[0][:5]}", f"j-{codes[0][-5:]}"}
         return sorted(keys)
     for i, w in enumerate(words):
-        keys.add((f"w{w}", "".join(sorted(codes[:i] + codes[i + 1 :]))[:3]))
-        keys |= {(f"c{min(x, y)}-{max(x, y)}", "") for j in range(i) for x in _shortened(codes[i]) for y in _shortened(codes[j])}
+        keys.add(f"w{w}")
+        keys |= {f"c{min(x, y)}-{max(x, y)}" for j in range(i) for x in _shortened(codes[i]) for y in _shortened(codes[j])}
     for run in (code("".join(words)), code("".join(words[::-1]))):
-        keys |= {(f"j{run[:5]}", ""), (f"j-{run[-5:]}", "")}
+        keys |= {f"j{run[:5]}", f"j-{run[-5:]}"}
     return sorted(keys)
 
 
@@ -160,18 +172,30 @@ def parsed(df: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def _blocked(keys: DataFrame) -> DataFrame:
-    """(key, block, beside, lone): a row for each block of each distinct name."""
+    """(key, block, lone): a row for each block of each distinct name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for k in b.column(0).to_pylist():
                 words = k.split(" ") if k[0] != "=" else [k]
-                rows += [(k, *x, len(words) == 1) for x in blocks(words)]
-            kinds = (pa.string(), pa.string(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(4)], names=["key", "block", "beside", "lone"])
+                rows += [(k, x, len(words) == 1) for x in blocks(words)]
+            kinds = (pa.string(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(3)], names=["key", "block", "lone"])
+
+    return keys.mapInArrow(run, "key string, block string, lone boolean")
+
+
+def _divided(crowded: DataFrame) -> DataFrame:
+    """(key, block, lone): the rows of crowded blocks of a shared word, one for each part of the block they lie in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(k, f"{w}|{x}") for k, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in beside(k.split(" "), w[1:])]
+            columns = [pa.array([r[i] for r in rows], pa.string()) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([False] * len(rows))], names=["key", "block", "lone"])
 
-    return keys.mapInArrow(run, "key string, block string, beside string, lone boolean")
+    return crowded.select("key", "block").mapInArrow(run, "key string, block string, lone boolean")
 
 
 def _pairs(blocked: DataFrame) -> DataFrame:
@@ -179,8 +203,8 @@ def _pairs(blocked: DataFrame) -> DataFrame:
     size = blocked.groupBy("block").agg(F.count("*").alias("n"), F.max("lone").alias("any_lone"))
     live = size.where("n > 1 and (any_lone or substr(block, 1, 1) in ('w', 'c'))")
     rows = blocked.join(live, "block")
-    divided = F.when((F.col("n") > CROWDED) & (F.col("beside") != ""), F.concat_ws("|", "block", "beside")).otherwise(F.col("block"))
-    rows = rows.select("key", "lone", divided.alias("block")).distinct()
+    crowded = (F.col("n") > CROWDED) & (F.substring("block", 1, 1) == "w")
+    rows = rows.where(~crowded).select("key", "block", "lone").union(_divided(rows.where(crowded))).distinct()
     left, right = rows.alias("l"), rows.alias("r")
     meet = (F.col("l.block") == F.col("r.block")) & (F.col("l.key") < F.col("r.key"))
     useful = F.col("l.lone") | F.col("r.lone") | F.substring("l.block", 1, 1).isin("w", "c")
