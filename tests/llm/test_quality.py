@@ -1,6 +1,6 @@
 import numpy as np
 
-from vacantia.llm.quality import KINDS, STATES, Lines, lines_of, observe, shape_of, shares, statistics
+from vacantia.llm.quality import KINDS, STATES, Lines, fit, lines_of, observe, shape_of, shares, statistics
 
 COMMON = frozenset("the of and to in a is that for it with as was on are be this you have we at or our der die und in das mit".split())
 PROSE = "We look for a person that likes to work with numbers and who is not afraid of the new tools we have. You will join the team in the office on the coast."
@@ -49,3 +49,18 @@ def test_estimation_keeps_distributions_and_addresses_do_not_count():
     m.estimate([observe(lines_of(t), COMMON) for t in TEXTS.values() if t and t.strip() and len(t) < 5000])
     assert all(np.allclose(np.exp(t).sum(axis=1), 1) for t in m.tables) and len(m.tables) == len(KINDS)
     assert shares(PROSE + "\n\nhttps://x.example/form?id=886384535200&lang=en#step-2", m, COMMON)[0] == 1
+
+
+def test_every_text_counts_in_the_estimation(spark):
+    texts = [t for t in TEXTS.values() if t is None or len(t) < 5000] * 60
+    rows = [(str(i), t) for i, t in enumerate(texts)]
+    model = fit(spark.createDataFrame(rows, "doc_id string, text string").repartition(3), "text", COMMON)
+    seen = [observe(x, COMMON) for t in texts if t and (x := lines_of(t))]
+    assert len(seen) > 600
+    want = Lines()
+    p, moved = zip(*(want.posterior(s) for s in seen))
+    got = want.expected(seen)
+    assert np.allclose(got[-16:].reshape(4, 4), sum(moved)) and np.allclose(got[:16].reshape(4, 4), [sum(x[s[:, 0] == v].sum(axis=0) for x, s in zip(p, seen)) for v in range(4)])
+    want.estimate(seen)
+    assert np.allclose(model.moves, want.moves, atol=1e-6) and all(np.allclose(a, b, atol=1e-6) for a, b in zip(model.tables, want.tables))
+    assert fit(spark.createDataFrame([], "doc_id string, text string"), "text", COMMON).moves.shape == (4, 4)

@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.runtime import table
+from vacantia.runtime import materialize, table
 
 STATES = ("prose", "list", "table", "junk")
-#: Documents the field's tables are re-estimated on, at most; the first by hash of their key.
-SAMPLE = 600
-#: Weight of the seed tables against what the sample shows, in lines.
+#: Weight of the seed tables against what the texts show: so many lines, and again for every SEED_TEXTS texts.
 SEED_LINES = 400.0
+SEED_TEXTS = 600
+ROUNDS = 4
 
 _MARK = re.compile(r"^\s*(?:[-*•–—·▪◦‣+]|\[[ xX]?\]|\(?\d{1,3}[.)]|\(?[A-Za-z][.)])\s+\S")
 _WORD = re.compile(r"[^\W_]+")
@@ -149,21 +149,51 @@ class Lines:
             moved += np.exp(ahead[t][:, None] + x - total)
         return np.exp(ahead + back - total), moved
 
-    def estimate(self, texts: Sequence[np.ndarray], rounds: int = 4) -> None:
-        """Expectation maximisation from the seeds, which keep the weight of SEED_LINES lines a state."""
+    def expected(self, texts: Sequence[np.ndarray]) -> np.ndarray:
+        """Expected lines of each state and value of each kind, then expected moves, in a row: `posterior` summed over texts.
+
+        All texts take a step at once, the longest first, so that those with a line left are always the first ones.
+        """
+        k = len(STATES)
+        texts = sorted((t for t in texts if len(t)), key=len, reverse=True)
+        if not texts:
+            return np.zeros(k * sum(KINDS.values()) + k * k)
+        seen = np.concatenate(texts)
+        n = np.array([len(t) for t in texts])
+        starts = np.cumsum(n) - n
+        active = [starts[: np.searchsorted(-n, -t, side="left")] + t for t in range(n[0])]
+        e = self.emissions(seen)
+        b = np.exp(e - e.max(axis=1, keepdims=True))
+        moves = np.exp(self.moves)
+        p, back, scale, moved = np.empty_like(b), np.ones_like(b), np.empty((len(b), 1)), np.zeros((k, k))
+        for t, at in enumerate(active):
+            x = (p[at - 1] @ moves if t else np.exp(self.start)) * b[at]
+            scale[at] = x.sum(axis=1, keepdims=True)
+            p[at] = x / scale[at]
+        for at in active[:0:-1]:
+            ahead = b[at] * back[at] / scale[at]
+            back[at - 1] = ahead @ moves.T
+            moved += moves * (p[at - 1].T @ ahead)
+        p *= back
+        counts = [p[seen[:, j] == v].sum(axis=0) for j, size in enumerate(KINDS.values()) for v in range(size)]
+        return np.concatenate([np.concatenate(counts), moved.ravel()])
+
+    def improve(self, counts: np.ndarray, texts: int) -> None:
+        """Tables and moves from the expected counts of so many texts and the seeds."""
         k = len(STATES)
-        seeds = [np.array(SEEDS[name]) for name in KINDS]
-        stay = np.exp(self.moves)
+        weight = SEED_LINES * max(1.0, texts / SEED_TEXTS)
+        at = 0
+        for j, (name, size) in enumerate(KINDS.items()):
+            t = np.array(SEEDS[name]) * weight + counts[at : at + k * size].reshape(size, k).T
+            self.tables[j] = np.log(t / t.sum(axis=1, keepdims=True))
+            at += k * size
+        moves = np.exp(Lines().moves) * weight + counts[at:].reshape(k, k)
+        self.moves = np.log(moves / moves.sum(axis=1, keepdims=True))
+
+    def estimate(self, texts: Sequence[np.ndarray], rounds: int = ROUNDS) -> None:
+        """Expectation maximisation from the seeds, which keep their weight at any number of texts."""
         for _ in range(rounds if texts else 0):
-            tables = [s * SEED_LINES for s in seeds]
-            moves = stay * SEED_LINES
-            for seen in texts:
-                p, moved = self.posterior(seen)
-                moves = moves + moved
-                for j, t in enumerate(tables):
-                    np.add.at(t.T, seen[:, j], p)
-            self.tables = [np.log(t / t.sum(axis=1, keepdims=True)) for t in tables]
-            self.moves = np.log(moves / moves.sum(axis=1, keepdims=True)).reshape(k, k)
+            self.improve(self.expected(texts), len(texts))
 
     def label(self, seen: np.ndarray) -> list[int]:
         """The likeliest states of all lines together (Viterbi)."""
@@ -193,11 +223,35 @@ def shares(text: str, model: Lines, common: frozenset[str]) -> list[float]:
     return [s / sum(size) for s in size]
 
 
-def fit(df: DataFrame, key: str, text: str, common: frozenset[str], sample: int = SAMPLE) -> Lines:
-    """The model, re-estimated on the first `sample` texts by hash of their key; texts without a line give nothing."""
-    rows = df.where(F.col(text).isNotNull()).select(F.col(text).alias("t"), F.xxhash64(key).alias("h")).orderBy("h", "t").limit(sample).collect()
-    model = Lines()
-    model.estimate([observe(x, common) for r in rows if (x := lines_of(_URL.sub("", r.t)))])
+def observed(df: DataFrame, text: str, common: frozenset[str]) -> DataFrame:
+    """(seen): what is seen in the lines of each text, a byte for each kind; texts without a line give no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [observe(x, common).astype(np.uint8).tobytes() for t in b.column(0).to_pylist() if (x := lines_of(_URL.sub("", t)))]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["seen"])
+
+    return df.where(F.col(text).isNotNull()).select(text).mapInArrow(run, "seen binary")
+
+
+def counted(seen: DataFrame, model: Lines) -> np.ndarray:
+    """`Lines.expected` of all texts; only the sums come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum(model.expected([np.frombuffer(x, np.uint8).reshape(-1, len(KINDS)) for x in b.column(0).to_pylist()]) for b in batches)
+        if not isinstance(total, int):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["i", "v"])
+
+    sums = seen.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    return np.round([r.v for r in sorted(sums, key=lambda r: r.i)], 6)
+
+
+def fit(df: DataFrame, text: str, common: frozenset[str]) -> Lines:
+    """The model, re-estimated on all texts; texts without a line give nothing."""
+    seen = materialize(observed(df, text, common))
+    model, texts = Lines(), seen.count()
+    for _ in range(ROUNDS if texts else 0):
+        model.improve(counted(seen, model), texts)
     return model
 
 
@@ -265,7 +319,7 @@ def shape_of() -> F.Column:
 def _parts(spark: SparkSession, folder: str) -> tuple[DataFrame, Lines, frozenset[str]]:
     documents = table(spark, folder, "documents")
     common = common_words(table(spark, folder, "common_words"))
-    return documents, fit(documents, "doc_id", "text", common), common
+    return documents, fit(documents, "text", common), common
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
