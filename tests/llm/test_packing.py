@@ -71,3 +71,10 @@ def test_packing(spark, monkeypatch, partition):
     assert by["a"].bound <= by["a"].containers <= 1.03 * by["a"].bound + 1
     assert sorted(map(str, pack(df).collect())) == sorted(map(str, got))
     assert pack(df.limit(0)).count() == 0
+
+
+def test_partitions_that_saved_nothing_keep_their_bound():
+    items = packing.pd.DataFrame([("a", 10, str(i), 1, s) for i, s in enumerate([5, 4, 4, 3, 2, 2])], columns=["source", "capacity", "id", "piece", "tokens"])
+    placed = packing._pack(("a", "0.0"), items)
+    again = packing._repack(("a", "1.0"), placed)
+    assert set(again["bins"]) == {3} and set(again["bound"]) == {2} and set(again["grp"]) == {"a|0.0"}

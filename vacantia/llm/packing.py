@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vacantia.llm.tokens import lengths
@@ -11,8 +11,8 @@ from vacantia.runtime import materialize, table
 
 #: Items packed together in one task, about; a source of any size is divided by hash into partitions of this many.
 PARTITION = 5_000
-#: Rounds in which partitions whose container count isn't proven least exchange items.
-ROUNDS = 2
+#: Partitions whose container count isn't proven least that exchange items together, at least, where there are so many.
+CIRCLE = 3
 #: A container filled beyond this share keeps its items in an exchange.
 FULL = 0.985
 
@@ -100,9 +100,12 @@ def _repack(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
     new = _pack(key, items)
     if new["bins"].iloc[0] < items["container"].nunique():
         return new
-    old = items.copy()
-    old["bound"] = old["bins"]
-    return old[new.columns]
+    return items[new.columns]
+
+
+def _opened(placed: DataFrame) -> int:
+    """Containers in use."""
+    return placed.select("source", "container").distinct().count()
 
 
 def pack(items: DataFrame) -> DataFrame:
@@ -115,7 +118,8 @@ def pack(items: DataFrame) -> DataFrame:
     Each source is divided by hash into partitions of about PARTITION items, packed by best-fit decreasing; the lower
     bound of a partition certifies its count. Partitions with a gap give the items of their unfilled containers to one
     another, a few partitions at a time, and best-fit decreasing runs again over what was given; a regrouping that
-    saves nothing is undone. Only ids and sizes move. The smallest ids and sizes break ties, so the result is the same
+    saves nothing is undone, and its partitions, whose bounds still show the gap, meet others in the next round, until
+    a round saves nothing. Only ids and sizes move. The smallest ids and sizes break ties, so the result is the same
     at every run.
     """
     known = items.select("source", F.col("capacity").cast("int").alias("capacity"), F.col("id").cast("string").alias("id"), F.greatest(F.coalesce("tokens", F.lit(0)), F.lit(0)).cast("int").alias("tokens"))
@@ -132,16 +136,26 @@ def pack(items: DataFrame) -> DataFrame:
     dealt = rest.join(parts, F.col("source").eqNullSafe(F.col("s")), "left").select(
         "source", "capacity", "id", "piece", "tokens", F.concat(F.lit("0."), F.pmod(F.xxhash64("id", "piece", "tokens"), "parts")).alias("grp"))
     placed = materialize(dealt.groupBy("source", "grp").applyInPandas(_pack, _PLACED))
-    for n in range(1, ROUNDS + 1):
-        gap = placed.where("bins > bound").select("source", "grp").distinct()
-        count = gap.groupBy(F.col("source").alias("c")).agg(F.ceil(F.count("*") / 3).alias("circles"))
-        circle = F.concat(F.lit(f"{n}."), F.pmod(F.xxhash64("grp", F.lit(n)), "circles")).alias("circle")
-        joined = gap.join(count, F.col("source").eqNullSafe(F.col("c"))).select(F.col("source").alias("s"), F.col("grp").alias("p"), circle)
+    opened, n = _opened(placed), 0
+    while True:
+        n += 1
+        open_still = F.col("fill") < FULL * F.col("capacity")
+        gap = placed.where((F.col("bins") > F.col("bound")) & open_still).select("source", "grp").distinct()
+        count = gap.groupBy(F.col("source").alias("c")).agg(F.count("*").alias("count")).where("count > 1")
+        place = F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64("grp", F.lit(n)), "grp")) - 1
+        circles = F.greatest(F.lit(1), F.floor(F.col("count") / CIRCLE))
+        circle = F.concat(F.lit(f"{n}."), F.floor(F.col("place") * circles / F.col("count"))).alias("circle")
+        ranked = gap.withColumn("place", place)
+        joined = materialize(ranked.join(count, F.col("source").eqNullSafe(F.col("c"))).select(F.col("source").alias("s"), F.col("grp").alias("p"), circle))
+        if joined.isEmpty():
+            break
         marked = placed.join(joined, F.col("source").eqNullSafe(F.col("s")) & (F.col("grp") == F.col("p")), "left")
-        given = F.col("circle").isNotNull() & (F.col("fill") < FULL * F.col("capacity"))
-        kept = marked.where(~given).withColumn("bound", F.col("bins")).select(*placed.columns)
+        given = F.col("circle").isNotNull() & open_still
         moved = marked.where(given).drop("s", "p").groupBy("source", "circle").applyInPandas(_repack, _PLACED)
-        placed = materialize(kept.unionByName(moved))
+        placed = materialize(marked.where(~given).select(*placed.columns).unionByName(moved))
+        before, opened = opened, _opened(placed)
+        if opened >= before:
+            break
     return placed.select("source", "id", "piece", "tokens", "capacity", "container").unionByName(full).unionByName(homeless)
 
 
