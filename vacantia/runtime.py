@@ -49,9 +49,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`, or one of our own where it is unset (local runs)."""
+    """The folder all executors share: `spark.checkpoint.dir`, or one of our own where it is unset and the master is local."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not (spark.sparkContext.master or "").split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="vacantia-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -65,13 +67,14 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """`df` over all cores, for a step whose work is far larger than its bytes: those alone would make few tasks of it.
+def pieces(spark: SparkSession) -> int:
+    """Partitions for a step whose work is far larger than its bytes: those alone would make few tasks of it."""
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    Without keys, as a repartition by the keys of the aggregation before it would be optimized away.
-    """
-    spark = df.sparkSession
-    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores; without keys, as a repartition by the keys of the aggregation before it would be optimized away."""
+    return df.repartition(pieces(df.sparkSession))
 
 
 def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
