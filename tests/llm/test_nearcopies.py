@@ -102,3 +102,40 @@ def test_pairs_with_boilerplate_of_a_tenth_of_all_texts_are_found(spark):
         for c in "ab":
             texts[f"{c}{i:02}"] = " ".join(boilerplate + edit(draw, own, 0.17 * (c == "b")))
     check_links(spark, texts, 0.5, 0.8)
+
+
+def recall(spark, monkeypatch, draw_pair, low, high):
+    """Share of the pairs of brute force, `low` to `high` close, that the bands find without any help of probes."""
+    monkeypatch.setattr("vacantia.llm.nearcopies.PROBES", 0)
+    texts = {}
+    while len(texts) < 600:
+        a, b = draw_pair()
+        if low <= jaccard(a, b) < high:
+            texts |= {f"a{len(texts):04}": a, f"b{len(texts):04}": b}
+    members, links, _ = near_copies(spark.createDataFrame(list(texts.items()), "id string, text string"), "id", F.col("text"), size=3, threshold=0.5, least=60)
+    key = dict(members.collect())
+    got = {frozenset((r.a, r.b)) for r in links.collect()}
+    pairs = [i for i in texts if i[0] == "a"]
+    return sum(frozenset((key[i], key["b" + i[1:]])) in got for i in pairs) / len(pairs)
+
+
+def test_bands_find_pairs_at_the_threshold(spark, monkeypatch):
+    draw = random.Random(17)
+
+    def pair():
+        base = draw.choices(VOCABULARY, k=120)
+        return " ".join(base), " ".join(edit(draw, base, 0.11))
+
+    assert recall(spark, monkeypatch, pair, 0.5, 0.6) >= 0.9
+
+
+def test_crowded_buckets_and_hot_groups_are_compared_in_blocks(spark, monkeypatch):
+    for name, value in (("FEW", 4), ("PROBES", 60), ("HOT", 4), ("BLOCK", 40)):
+        monkeypatch.setattr(f"vacantia.llm.nearcopies.{name}", value)
+    draw = random.Random(19)
+    base = draw.choices(VOCABULARY, k=120)
+    texts = {f"h{i:03}": " ".join(edit(draw, base, 0.03)) for i in range(100)}
+    for g in range(12):
+        other = draw.choices(VOCABULARY, k=100)
+        texts |= {f"g{g:02}{i}": " ".join(edit(draw, other, 0.012)) for i in range(12)}
+    check_links(spark, texts, 0.6, 0.8)

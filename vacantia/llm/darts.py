@@ -2,8 +2,8 @@
 
 Every element owns a plane of weight x rank on which darts lie at density one, placed by hashing the element alone. A
 set sees the darts below its element's weight; per coordinate of the signature it keeps the one of least rank. Two sets
-agree in a coordinate with the probability of their weighted Jaccard similarity. The planes are cut into cells of
-doubling width and height, so only the cells below a set's weight and rank limits are filled with darts.
+agree in a coordinate with the probability of their weighted Jaccard similarity. Darts are thrown slab by slab of
+rising rank, and a set drops out as soon as all its coordinates are filled: what comes later can't change them.
 """
 
 from __future__ import annotations
@@ -13,93 +13,98 @@ import numpy as np
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: (lowest rank, height) of the slabs: even ones first, then doubling up to the highest rank, 65,536.
+_SLABS = [(float(i), 1.0) for i in range(8)] + [(float(2**i), float(2**i)) for i in range(3, 16)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """64-bit finaliser (public splitmix constants)."""
-    x = (x ^ (x >> np.uint64(30))) * _A
-    x = (x ^ (x >> np.uint64(27))) * _B
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= _A
+    x ^= x >> np.uint64(27)
+    x *= _B
+    x ^= x >> np.uint64(31)
+    return x
 
 
-def _poisson(area: float) -> np.ndarray:
-    """Thresholds on 32-bit uniforms: as many as lie at or below one is its Poisson count."""
+def _counts(area: float) -> np.ndarray:
+    """The Poisson count of a cell of this area for each 16-bit uniform number."""
     p, total, cut = np.exp(-area), 0.0, []
     for n in range(int(area + 12 * area**0.5 + 12)):
         total += p
-        cut.append(min(total, 1.0) * 2**32)
+        cut.append(total)
         p *= area / (n + 1)
-    return np.array(cut)
-
-
-_CUTS = {level: _poisson(float(2**level)) for level in range(12)}
-
-
-def _darts(elements: np.ndarray, row: np.ndarray, weight: np.ndarray, limit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, coordinate, rank and name of the dart) of every dart that a row's element sees."""
-    rows, places, values = [], [], []
-    high = int(np.log2(1 + weight.max())) + 1
-    for wide in range(high):
-        low_w = float(2**wide - 1)
-        here = weight > low_w
-        if not here.any():
-            continue
-        e, r, w, top = elements[here], row[here], weight[here], limit[here]
-        for tall in range(int(np.log2(1 + top.max())) + 1):
-            low_r = float(2**tall - 1)
-            in_reach = top > low_r
-            if not in_reach.any():
-                continue
-            cell = mix((e[in_reach] + np.uint64(wide * 64 + tall + 1)) * _ODD)
-            level = wide + tall
-            cuts = _CUTS.get(level)
-            if cuts is None:
-                cuts = _CUTS[level] = _poisson(float(2**level))
-            count = np.searchsorted(cuts, (cell >> np.uint64(32)).astype(np.float64), side="right")
-            total = int(count.sum())
-            if not total:
-                continue
-            owner = np.repeat(np.arange(len(cell)), count)
-            nth = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
-            dart = mix(cell[owner] + nth.astype(np.uint64) * _ODD)
-            at_w = low_w + (dart >> np.uint64(40)).astype(np.float64) * (2.0**wide / 2**24)
-            at_r = low_r + ((dart >> np.uint64(16)) & np.uint64(0xFFFFFF)).astype(np.float64) * (2.0**tall / 2**24)
-            seen = (at_w < w[in_reach][owner]) & (at_r < top[in_reach][owner])
-            dart, at_r, owner = dart[seen], at_r[seen], owner[seen]
-            name = mix(dart + _ODD)
-            rows.append(r[in_reach][owner])
-            places.append(((name >> np.uint64(32)) % np.uint64(k)).astype(np.int64))
-            values.append(((at_r * 2**20).astype(np.uint64) << np.uint64(32)) | (name & np.uint64(0xFFFFFFFF)))
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(rows), np.concatenate(places), np.concatenate(values)
+    return np.searchsorted(np.array(cut), (np.arange(65536) + 0.5) / 65536)
+
+
+_COUNTS: dict[float, np.ndarray] = {}
+
+
+def _thrown(elements: np.ndarray, weight: np.ndarray, slab: int, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(element's place, rank, name) of the darts each element sees in one cell: a slab of rank by a span of weight."""
+    low, height = _SLABS[slab]
+    width, low_w = float(2**wide), float(2**wide - 1)
+    area = width * height
+    if area not in _COUNTS:
+        # over such an area the count hardly varies
+        _COUNTS[area] = _counts(area) if area < 600 else np.full(65536, int(area))
+    cell = mix((elements + np.uint64(wide * 64 + slab + 1)) * _ODD)
+    count = _COUNTS[area][(cell >> np.uint64(48)).astype(np.int64)]
+    owner = np.repeat(np.arange(len(cell)), count)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    dart = mix(cell[owner] + nth.astype(np.uint64) * _ODD)
+    reach = (weight - low_w) * (2.0**24 / width)
+    seen = (dart >> np.uint64(40)).astype(np.float64) < reach[owner]
+    dart, owner = dart[seen], owner[seen]
+    rank = low + ((dart >> np.uint64(16)) & np.uint64(0xFFFFFF)).astype(np.float64) * (height / 2**24)
+    return owner, rank, mix(dart + _ODD)
 
 
 def signatures(elements: np.ndarray, row: np.ndarray, weight: np.ndarray, n: int, k: int) -> np.ndarray:
     """(n, k) signature of the sets 0..n-1; `row` says which set each element (uint64) with its weight (> 0) is of.
 
-    Each set throws enough darts to leave a coordinate empty once in a thousand times; sets that do throw again up to
-    twice the rank, which changes no coordinate that is filled. A set without elements keeps empty coordinates.
+    A set without elements keeps empty coordinates; so does one of so little weight in all (under a few thousandths of
+    k) that the highest rank leaves some unfilled.
     """
     out = np.full(n * k, EMPTY, np.uint64)
-    total = np.bincount(row, weights=weight, minlength=n)
-    darts = np.full(n, k * np.log(k) + 2 * k)
-    todo = total > 0
-    while todo.any():
-        mine = todo[row]
-        limit = (darts / np.maximum(total, 1e-9))[row[mine]]
-        r, place, value = _darts(elements[mine], row[mine], weight[mine], limit, k)
-        np.minimum.at(out, r * k + place, value)
+    todo = np.bincount(row, weights=weight, minlength=n) > 0
+    e, r, w = elements, row, weight
+    for slab in range(len(_SLABS)):
+        keep = todo[r]
+        if not keep.all():
+            e, r, w = e[keep], r[keep], w[keep]
+        if not len(e):
+            break
+        for wide in range(int(np.log2(1 + w.max())) + 1):
+            here = np.flatnonzero(w > 2**wide - 1)
+            if not len(here):
+                continue
+            owner, rank, name = _thrown(e[here], w[here], slab, wide)
+            place = r[here[owner]] * k + ((name >> np.uint64(32)) % np.uint64(k)).astype(np.int64)
+            np.minimum.at(out, place, ((rank * 2**16).astype(np.uint64) << np.uint64(32)) | (name & np.uint64(0xFFFFFFFF)))
         todo &= (out.reshape(n, k) == EMPTY).any(axis=1)
-        darts[todo] *= 2
     return out.reshape(n, k)
 
 
-def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
-    """(n, k / rows) keys as int64, one for each band of `rows` coordinates; the band's number is part of its key."""
+def band_keys(signature: np.ndarray, rows: int, passes: int = 1) -> np.ndarray:
+    """(n, passes * k / rows) keys as int64, one for each band of `rows` coordinates; the band's number is part of its key.
+
+    Each pass cuts all coordinates into bands; bands of different passes share one coordinate at most, so that they
+    are nearly as good as bands of coordinates of their own.
+    """
     n, k = signature.shape
-    keys = np.tile(np.arange(1, k // rows + 1, dtype=np.uint64) * _ODD, (n, 1))
-    grouped = signature.reshape(n, k // rows, rows)
-    for j in range(rows):
-        keys = mix(keys ^ grouped[:, :, j]) * _ODD
-    return keys.view(np.int64)
+    side = k // rows
+    names = signature & np.uint64(0xFFFFFFFF)
+    out = np.empty((n, passes * side), np.uint64)
+    for p in range(passes):
+        keys = np.tile(np.arange(p * side + 1, (p + 1) * side + 1, dtype=np.uint64) * _ODD, (n, 1))
+        for j in range(rows):
+            keys = mix(keys ^ names[:, j * side + (np.arange(side) + p * j) % side]) * _ODD
+        out[:, p * side : (p + 1) * side] = keys
+    return out.view(np.int64)
+
+
+def sketches(signature: np.ndarray) -> np.ndarray:
+    """(n, 4) int64: the last four bits of the first 64 coordinates, sixteen to a number, to compare pairs by cheaply."""
+    nibbles = (signature[:, :64] & np.uint64(15)).reshape(len(signature), 4, 16)
+    return (nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).view(np.int64)
