@@ -77,3 +77,31 @@ def test_operator_on_nulls_blanks_repeats_and_clashing_columns(spark, public):
     assert encode(df.limit(0), "doc_id", "text").count() == 0
     back = decoded(encode(df.where("doc_id is not null"), "doc_id", "text"), "doc_id", "ids").collect()
     assert {(r.doc_id, r.text) for r in back} == {(i, t or "") for i, t, _ in rows if i}
+
+
+def test_left_growing_tokens_longer_than_the_lookahead_end():
+    letters = "abcdefghijklmnop"
+    ranks = {bytes([i]): i for i in range(256)}
+    for n in range(2, len(letters) + 1):
+        ranks[letters[:n].encode()] = 254 + n
+    coder = Transducer(ranks, sufficient_lookahead(ranks))
+    text = letters * 40 + "abcab" * 30
+    assert coder.encode(text) == [ranks[t] for t in merge(text.encode(), ranks)]
+
+
+def test_random_merge_lists_agree_with_whole_merging():
+    draw = random.Random(23)
+    for _ in range(150):
+        ranks = {bytes([i]): i for i in range(256)}
+        known = [b"a", b"b", b"c"]
+        for _ in range(draw.randint(3, 25)):
+            left, right = (known[-1] if draw.random() < 0.5 else draw.choice(known)), draw.choice(known)
+            if draw.random() < 0.3:
+                left, right = right, left
+            if len(left + right) <= 60 and left + right not in ranks:
+                ranks[left + right] = len(ranks)
+                known.append(left + right)
+        coder = Transducer(ranks, sufficient_lookahead(ranks))
+        for _ in range(6):
+            data = b"".join(draw.choices(known, k=60))
+            assert coder.piece(data) == [ranks[t] for t in merge(data, ranks)]

@@ -141,7 +141,8 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int], lookahead: int, pattern: str = PATTERN, chunk: int = 1 << 16, room: int = 1 << 18) -> None:
         self.ranks, self.look, self.chunk = ranks, lookahead, chunk
-        self.window = 4 * lookahead
+        # a window must hold any token and the bytes that make it final, or nothing in it might ever be final
+        self.window = max(4 * lookahead, lookahead + max(map(len, ranks), default=0))
         self.pattern = regex.compile(pattern)
         self.cache = _Pieces(self, room)
         self._text, self._bytes, self._run = "", b"", ""
