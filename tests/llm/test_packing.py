@@ -78,3 +78,18 @@ def test_partitions_that_saved_nothing_keep_their_bound():
     placed = packing._pack(("a", "0.0"), items)
     again = packing._repack(("a", "1.0"), placed)
     assert set(again["bins"]) == {3} and set(again["bound"]) == {2} and set(again["grp"]) == {"a|0.0"}
+
+
+def test_repeated_rows_and_null_ids_are_dealt_like_others(spark, monkeypatch):
+    monkeypatch.setattr(packing, "STRETCH", 700)
+    rows = [("a", 10, "same", 3)] * 20_000 + [("a", 10, None, 3)] * 10_000
+    df = spark.createDataFrame(rows, "source string, capacity int, id string, tokens int").repartition(4)
+    numbered = packing._copies(df)
+    assert numbered.count() == 30_000 and numbered.distinct().count() == 30_000
+    packed = pack(df).collect()
+    fill, sizes = {}, {}
+    for r in packed:
+        fill[r.container] = fill.get(r.container, 0) + r.tokens
+        sizes[r.container.split(".")[1]] = sizes.get(r.container.split(".")[1], 0) + 1
+    assert len(packed) == 30_000 and max(fill.values()) <= 10 and len(fill) <= 10_010
+    assert len(sizes) == 6 and max(sizes.values()) < 2 * packing.PARTITION

@@ -15,6 +15,8 @@ PARTITION = 5_000
 CIRCLE = 3
 #: A container filled beyond this share keeps its items in an exchange.
 FULL = 0.985
+#: Equal rows that are numbered at once.
+STRETCH = 10_000
 
 
 def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
@@ -103,6 +105,17 @@ def _repack(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
     return items[new.columns]
 
 
+def _copies(items: DataFrame) -> DataFrame:
+    """`items` with a `copy` number that tells equal rows apart, so that a row repeated without end is dealt like others.
+
+    Equal rows are counted with map-side sums and given out again in stretches of STRETCH, so none is gathered.
+    """
+    counted = items.groupBy(*items.columns).agg(F.count("*").alias("n"))
+    stretches = counted.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / STRETCH))).alias("stretch"))
+    last = F.least(F.col("n"), (F.col("stretch") + 1) * STRETCH)
+    return stretches.select(*items.columns, F.explode(F.sequence(F.col("stretch") * STRETCH + 1, last)).alias("copy"))
+
+
 def _opened(placed: DataFrame) -> int:
     """Containers in use."""
     return placed.select("source", "container").distinct().count()
@@ -133,8 +146,8 @@ def pack(items: DataFrame) -> DataFrame:
         F.when(F.col("tokens") > F.col("capacity"), F.col("tokens") - whole * F.col("capacity")).otherwise(F.col("tokens")).cast("int").alias("tokens"))
     rest = rest.where("tokens > 0 or piece = 1")
     parts = rest.groupBy(F.col("source").alias("s")).agg(F.ceil(F.count("*") / PARTITION).alias("parts"))
-    dealt = rest.join(parts, F.col("source").eqNullSafe(F.col("s")), "left").select(
-        "source", "capacity", "id", "piece", "tokens", F.concat(F.lit("0."), F.pmod(F.xxhash64("id", "piece", "tokens"), "parts")).alias("grp"))
+    dealt = _copies(rest).join(parts, F.col("source").eqNullSafe(F.col("s")), "left").select(
+        "source", "capacity", "id", "piece", "tokens", F.concat(F.lit("0."), F.pmod(F.pmod(F.xxhash64("id", "piece", "tokens"), "parts") + F.col("copy") - 1, "parts")).alias("grp"))
     placed = materialize(dealt.groupBy("source", "grp").applyInPandas(_pack, _PLACED))
     opened, n = _opened(placed), 0
     while True:
