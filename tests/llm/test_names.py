@@ -51,3 +51,23 @@ def test_parts():
     assert distinctive(" ") == [] and distinctive("GmbH")[0] == "=gmbh"
     assert code("pigago") == code("bikaco") and jaro_winkler("martha", "marhta") > 0.96 and jaro_winkler("abc", "xyz") == 0
     assert same(["rinsobel", "vakomer"], ["rinsobl", "vakomre"]) and not same(["rinsobel", "vakomer"], ["gelkomavi", "vakomer"])
+
+
+def test_given_names_tell_organisations_apart_in_any_form(spark):
+    rows = [("a", "Giuseppe Rossi Srl"), ("b", "Beppe ROSSI"), ("c", "Antonio Rossi"), ("d", "Maria Bianchi & Figli"), ("e", "Robert Bianchi"), ("f", "Studio Bob Bianchi"),
+            ("g", "Katherine Rinsobel Vakomer"), ("h", "Rinsobel Vakomer"), ("i", "William Gelkomavi Tozilti"), ("j", "Robert Gelkomavi Tozilti"), ("k", "Gelkomavi Tozilti")]
+    assert grouped(spark, rows) == [{"a", "b"}, {"c"}, {"d"}, {"e", "f"}, {"g", "h"}, {"i"}, {"j"}, {"k"}]
+
+
+def test_generic_names_take_a_mistake(spark):
+    rows = [("a", "Studio Tecnico Energia"), ("b", "Studio Tecnico Enrgia"), ("c", "Water Research International"), ("d", "Water Reserch International"), ("e", "Studio Tecnico Acque")]
+    assert grouped(spark, rows) == [{"a", "b"}, {"c", "d"}, {"e"}]
+
+
+def test_a_pair_is_found_however_many_share_its_word(spark):
+    draw = random.Random(3)
+    for n in (100, 260, 5000):
+        heads = {"".join(draw.choice(["bra", "ken", "lov", "mig", "rus", "tan", "vel", "zor", "pid", "fag"]) for _ in range(6)) for _ in range(n)}
+        rows = [(f"{i:05}", f"{h} Hotword") for i, h in enumerate(sorted(heads))]
+        groups = grouped(spark, [*rows, ("y", "Bakelo Hotword"), ("z", "Zakero Hotword")])
+        assert {"y", "z"} in groups

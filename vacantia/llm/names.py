@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -20,27 +21,29 @@ gesellschaft beschrankter haftung mit societa societe azioni per responsabilita
 besloten vennootschap naamloze spolka ograniczona odpowiedzialnoscia zoo sociedad anonima limitada lda
 """.split())
 TRADE = frozenset("""
-studio studios tecnico technical tecnica research ricerche ricerca recherche forschung rsch rnd international internazionale intl internat
-water acque acqua wasser eau wtr engineering engineers ingegneria ingenieure engrg eng logistics logistica logistik logistique log
-technologies technology tecnologie tecnologia technologie tech technol solutions solution soluzioni losungen solns sol laboratories laboratory
-laboratori laboratorio laboratoires lab labs associates associati associes assoc systems system sistemi systeme systemes sys syst services
-service servizi dienste serv svcs manufacturing manifattura fertigung manuf mfg consulting consultants consulenza beratung consult cons robotics
-robotica robotik robotique robot energy energia energie enrg staffing int
+studio studios tecnico technical tecnica research ricerche ricerca recherche forschung international internazionale internationale
+water acque acqua wasser eau engineering engineers ingegneria ingenieure ingenieria logistics logistica logistik logistique
+technologies technology tecnologie tecnologia technologie technik solutions solution soluzioni losungen soluciones laboratories laboratory
+laboratori laboratorio laboratoires associates associati associes partners systems system sistemi systeme systemes sistemas services
+service servizi dienste servicios manufacturing manifattura fertigung consulting consultants consulenza beratung conseil robotics
+robotica robotik robotique energy energia energie staffing trading commerce industries industrie industria
 """.split())
 BRANCH = frozenset("""
-group gruppe gruppo groupe holding holdings europe europa hq headquarters sede centrale italia italy deutschland germany france francia uk
-espana spain polska poland nederland portugal brothers bros fratelli figli gli sons gebruder and the und von der
+group gruppe gruppo groupe holding holdings europe europa headquarters sede centrale italia italy deutschland germany france francia
+espana spain polska poland nederland portugal brothers fratelli figli gli sons gebruder and the und von der
 """.split())
 #: Forms under which a given name is typed.
 NICKNAMES = {
-    "giuseppe": "beppe peppe peppino pino gius gsp bepi", "francesco": "checco franco cecco fsco sco franz", "antonio": "tonio toni tony nio ant nino tonino",
-    "francisco": "paco pancho fco curro frasco", "jose": "pepe", "maria": "chema josema", "johannes": "hannes hans joh jan johann",
-    "cornelis": "kees cees cor corn", "william": "bill will willy wm billy liam", "robert": "bob rob robt bobby bert", "alexander": "alex sandy sascha xander",
-    "elisabeth": "betty lisbeth liz elis lisa beth elsbeth", "katherine": "kathy kate kath kitty kat", "margarete": "gretel grete greta marg gretchen margit",
-    "stanislaw": "staszek stach stan stas staszko",
+    "giuseppe": "beppe peppe peppino pino bepi", "francesco": "checco franco cecco", "antonio": "tonio toni tony nino tonino", "giovanni": "gianni nanni vanni",
+    "luigi": "gigi gino", "francisco": "paco pancho curro frasco", "jose": "pepe", "maria": "chema josema marisa", "johannes": "hannes hans jan johann",
+    "heinrich": "heinz heiner", "friedrich": "fritz", "cornelis": "kees cees", "william": "bill will willy billy liam", "robert": "bob rob bobby bert",
+    "richard": "dick rick", "alexander": "alex sandy sascha xander", "elisabeth": "betty lisbeth elsbeth beth lisa", "katherine": "kathy kate kitty kat",
+    "margarete": "gretel grete greta gretchen margit", "stanislaw": "staszek stach stas staszko", "jean": "jeannot", "pierre": "pierrot",
 }
-GIVEN = frozenset(NICKNAMES) | frozenset(n for forms in NICKNAMES.values() for n in forms.split())
-GENERIC = LEGAL | TRADE | BRANCH | GIVEN
+GIVEN = {form: name for name, forms in NICKNAMES.items() for form in (name, *forms.split())}
+GENERIC = LEGAL | TRADE | BRANCH
+#: Least Jaro-Winkler similarity of any two words taken for one, and of all words of a name in the mean.
+WORD_LIKE, NAME_LIKE = 0.76, 0.88
 #: Consonants heard as one (fixed values); vowels, h and y leave no trace.
 _SOUNDS = str.maketrans({**dict.fromkeys("bp", "B"), **dict.fromkeys("dt", "D"), **dict.fromkeys("gkcqj", "K"), **dict.fromkeys("fvw", "F"), **dict.fromkeys("szx", "S"), **dict.fromkeys("mn", "N"), "l": "L", "r": "R", **dict.fromkeys("aeiouhy", None)})
 _DOTTED = regex.compile(r"\b((?:\p{L}\.){2,}\p{L}?)")
@@ -49,16 +52,77 @@ _WORD = regex.compile(r"[\p{L}\p{N}]+")
 CROWDED = 200
 
 
+@lru_cache(1)
+def _near_generic() -> dict[str, list[str]]:
+    """Generic words of six letters or more by all that is left of them without one letter."""
+    found: dict[str, list[str]] = {}
+    for w in sorted(GENERIC):
+        for x in _shortened(w) if len(w) > 5 else ():
+            found.setdefault(x, []).append(w)
+    return found
+
+
+def _mistyped(word: str) -> str | None:
+    """The generic word this one is but for one mistake."""
+    near = {w for x in _shortened(word) for w in _near_generic().get(x, ())} if len(word) > 4 else set()
+    return min((w for w in near if distance(word, w, 1)), default=None)
+
+
+def _shortens(short: str, whole: str) -> bool:
+    """Whether a word is short for another: its beginning, with a plural s or not, or some of its letters in order with one vowel at most."""
+    if short[0] != whole[0] or len(short) > len(whole) - 2:
+        return False
+    if whole.startswith(short) or (short[-1] == "s" and whole.startswith(short[:-1])):
+        return True
+    letters = iter(whole)
+    return sum(c in "aeiou" for c in short) < 2 and all(c in letters for c in short)
+
+
+@lru_cache(1 << 16)
+def _kind(word: str) -> str:
+    """`` for a distinctive word, a given name for one of its forms, `-` for a word that doesn't tell organisations apart."""
+    if word in GIVEN:
+        return GIVEN[word]
+    if len(word) < 3 or word in GENERIC or (len(word) < 6 and not any(c in "aeiouy0123456789" for c in word)):
+        return "-"
+    if len(word) < 8 and word.isalpha():
+        if len(word) < 5:
+            name = next((n for n in NICKNAMES if _shortens(word, n)), None)
+            if name:
+                return name
+        if any(_shortens(word, w) for w in TRADE | {"headquarters", "brothers"}):
+            return "-"
+    return ""
+
+
 def distinctive(name: str | None) -> list[str]:
     """The words that tell an organisation from others, folded and sorted.
 
-    Legal forms, trade words, additions, given names and words of one or two letters go. A name of nothing else keeps
-    all its words, marked so that it only meets names of the very same words; a null or empty one gives none.
+    Legal forms, trade words and what they are shortened to, additions, given names and words of one or two letters go.
+    A name of nothing else, or of nothing else but a generic word with one mistake, keeps all its words, the mistake put
+    right, and is marked so that it only meets names of the very same words; a null or empty one gives none.
     """
+    return _parts(name)[0]
+
+
+def _parts(name: str | None) -> tuple[list[str], list[str]]:
+    """(distinctive words, given names under their first form) of a name."""
     text = _DOTTED.sub(lambda m: m.group().replace(".", ""), fold(name or "").replace("'", "").replace("’", ""))
     words = _WORD.findall(text)
-    own = [w for w in words if len(w) > 2 and w not in GENERIC and (len(w) > 5 or any(c in "aeiouy0123456789" for c in w))]
-    return sorted(set(own)) if own else ["=" + " ".join(sorted(words))] if words else []
+    kinds = [(w, _kind(w)) for w in words]
+    own = [w for w, k in kinds if not k]
+    given = sorted({k for _, k in kinds if k and k != "-"})
+    if own and (given or (fixed := {w: _mistyped(w) for w in own}) and not all(fixed.values())):
+        return sorted(set(own)), given
+    if own:
+        words = [fixed.get(w, w) for w in words]
+    return (["=" + " ".join(sorted(words))] if words else []), []
+
+
+def split(key: str) -> tuple[list[str], set[str]]:
+    """(distinctive words, given names) of the key of a name."""
+    words, _, given = key.partition(" ~")
+    return [words] if words[0] == "=" else words.split(" "), set(given.split("+")) if given else set()
 
 
 def code(word: str) -> str:
@@ -135,37 +199,43 @@ def word_distance(a: str, b: str) -> int | None:
     if a == b:
         return 0
     d = distance(a, b, 1 if max(len(a), len(b)) < 6 else 2)
-    return d[0] if d and jaro_winkler(a, b) >= 0.6 else None
+    return d[0] if d and jaro_winkler(a, b) >= WORD_LIKE else None
 
 
 def same(a: list[str], b: list[str]) -> bool:
-    """Whether every word of the shorter name is a word of the longer, with three mistakes at most; two words at least.
+    """Whether every word of the shorter name is a word of the longer; two words at least.
 
-    Words run together count: the names are also compared without blanks.
+    Words are paired by Jaro-Winkler similarity, the likest first, and must be WORD_LIKE each and NAME_LIKE in the mean;
+    an exact count of mistakes follows, which bears two a word (one under six letters) and three in all, so that blocks
+    can be sure to hold every pair. Words run together count: a lone word is also compared with the two words of the
+    other name without the blank.
     """
     if len(a) > len(b):
         a, b = b, a
     if len(a) == 1:
         flat = {"".join(b), "".join(b[::-1])} if len(b) == 2 else set()
-        return any((d := distance(a[0], f, 2)) is not None for f in flat)
-    free, total = list(b), 0
-    for w in a:
-        near = [(d, i) for i, x in enumerate(free) if (d := word_distance(w, x)) is not None]
-        if not near:
-            return False
-        d, i = min(near)
-        total += d
-        free.pop(i)
-    return total <= 3
+        return any(jaro_winkler(a[0], f) >= NAME_LIKE and distance(a[0], f, 2) is not None for f in flat)
+    likeness = sorted(((-jaro_winkler(w, x), i, j) for i, w in enumerate(a) for j, x in enumerate(b)))
+    pairs: dict[int, tuple[int, float]] = {}
+    taken: set[int] = set()
+    for s, i, j in likeness:
+        if i not in pairs and j not in taken:
+            pairs[i] = (j, -s)
+            taken.add(j)
+    least, mean = min(s for _, s in pairs.values()), sum(s for _, s in pairs.values()) / len(a)
+    if least < WORD_LIKE or mean < NAME_LIKE:
+        return False
+    mistakes = [word_distance(a[i], b[j]) for i, (j, _) in pairs.items()]
+    return None not in mistakes and sum(mistakes) <= 3
 
 
 def parsed(df: DataFrame, key: str, name: str) -> DataFrame:
-    """(id, key, words): the distinctive part of each name."""
+    """(id, key): the distinctive part of each name, with its given names under their first form behind a tilde."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [distinctive(n) for n in b.column(1).to_pylist()]
-            text = pa.array([" ".join(w) or None for w in words], pa.string())
+            parts = [_parts(n) for n in b.column(1).to_pylist()]
+            text = pa.array([" ".join(w) + (" ~" + "+".join(g) if g else "") or None for w, g in parts], pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), text], names=["id", "key"])
 
     return df.select(F.col(key).cast("string").alias("id"), F.col(name).alias("_n")).mapInArrow(run, "id string, key string")
@@ -178,12 +248,12 @@ def _blocked(keys: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for k in b.column(0).to_pylist():
-                words = k.split(" ") if k[0] != "=" else [k]
+                words, _ = split(k)
                 rows += [(k, x, len(words) == 1) for x in blocks(words)]
             kinds = (pa.string(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(3)], names=["key", "block", "lone"])
 
-    return keys.mapInArrow(run, "key string, block string, lone boolean")
+    return spread(keys).mapInArrow(run, "key string, block string, lone boolean")
 
 
 def _divided(crowded: DataFrame) -> DataFrame:
@@ -191,7 +261,7 @@ def _divided(crowded: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(k, f"{w}|{x}") for k, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in beside(k.split(" "), w[1:])]
+            rows = [(k, f"{w}|{x}") for k, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in beside(split(k)[0], w[1:])]
             columns = [pa.array([r[i] for r in rows], pa.string()) for i in range(2)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([False] * len(rows))], names=["key", "block", "lone"])
 
@@ -205,26 +275,40 @@ def _pairs(blocked: DataFrame) -> DataFrame:
     rows = blocked.join(live, "block")
     crowded = (F.col("n") > CROWDED) & (F.substring("block", 1, 1) == "w")
     rows = rows.where(~crowded).select("key", "block", "lone").union(_divided(rows.where(crowded))).distinct()
-    left, right = rows.alias("l"), rows.alias("r")
-    meet = (F.col("l.block") == F.col("r.block")) & (F.col("l.key") < F.col("r.key"))
-    useful = F.col("l.lone") | F.col("r.lone") | F.substring("l.block", 1, 1).isin("w", "c")
-    return left.join(right, meet).where(useful).select(F.col("l.key").alias("a"), F.col("r.key").alias("b")).distinct()
+    rows = materialize(rows)
+    every = F.substring("block", 1, 1).isin("w", "c")
+    left, right = rows.where(F.col("lone") | every).alias("l"), rows.alias("r")
+    meet = (F.col("l.block") == F.col("r.block")) & (F.col("l.key") != F.col("r.key"))
+    met = left.withColumn("every", every).alias("l").join(right, meet).where(~F.col("l.every") | (F.col("l.key") < F.col("r.key")))
+    return met.select(F.least("l.key", "r.key").alias("a"), F.greatest("l.key", "r.key").alias("b")).distinct()
+
+
+def relation(a: str, b: str) -> list[tuple[str, str, str, int]]:
+    """The links (a, b, kind, mistakes) of two keys: `name` for one organisation, `cut` where the first may be the second with something left out.
+
+    Names with given names that have none in common are never linked. A name without a given name where the other has
+    one is cut, as is a lone word that resembles a word of the other.
+    """
+    (x, given), (y, other) = split(a), split(b)
+    if given and other and not given & other:
+        return []
+    whole = same(x, y) or (len(x) == 1 and x == y)
+    if whole and bool(given) == bool(other) and (len(x) > 1 or len(y) > 1 or given):
+        return [(a, b, "name", 0)]
+    if whole:
+        return [(a, b, "cut", 0) if other else (b, a, "cut", 0)]
+    if min(len(x), len(y)) > 1:
+        return []
+    near = [d for w in (x if len(x) == 1 else y) for v in (y if len(x) == 1 else x) if (d := word_distance(w, v)) is not None]
+    return [(p, q, "cut", min(near)) for p, q, own in ((a, b, x), (b, a, y)) if len(own) == 1] if near else []
 
 
 def _compared(pairs: DataFrame) -> DataFrame:
-    """(a, b, kind, mistakes): `name` for one organisation, `lone` where a lone word resembles a word of the other."""
+    """(a, b, kind, mistakes): `relation` of each pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for a, b in zip(*(c.to_pylist() for c in batch.columns)):
-                x, y = a.split(" "), b.split(" ")
-                if same(x, y):
-                    rows.append((a, b, "name", 0))
-                elif len(x) == 1 or len(y) == 1:
-                    near = [d for w in (x if len(x) == 1 else y) for v in (y if len(x) == 1 else x) if (d := word_distance(w, v)) is not None]
-                    if near:
-                        rows += [(p, q, "lone", min(near)) for p, q, own in ((a, b, x), (b, a, y)) if len(own) == 1]
+            rows = [r for a, b in zip(*(c.to_pylist() for c in batch.columns)) for r in relation(a, b)]
             kinds = (pa.string(), pa.string(), pa.string(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(4)], names=["a", "b", "kind", "mistakes"])
 
@@ -234,9 +318,10 @@ def _compared(pairs: DataFrame) -> DataFrame:
 def organisations(df: DataFrame, key: str, name: str) -> DataFrame:
     """(id, organisation): each row with the smallest id of its organisation.
 
-    Rows of one distinctive part are one class; only classes are compared, so copies cost nothing and a class of any
-    size is never expanded. Two names of several words are one organisation if `same` says so; those links are closed
-    by connected components. A name cut to one word joins the one organisation that has the word with the fewest
+    Rows of one distinctive part and the same given names are one class; only classes are compared, so copies cost
+    nothing and a class of any size is never expanded. Two names of several words are one organisation if `same` says
+    so and their given names, if both have any, have one in common; those links are closed by connected components. A
+    name cut to one word, or without its given name, joins the one organisation that has the rest with the fewest
     mistakes; if several do (a shared word), it joins none. A row with a null or empty name is its own organisation;
     a null id is left out. An empty table gives no rows.
     """
@@ -245,8 +330,8 @@ def organisations(df: DataFrame, key: str, name: str) -> DataFrame:
     found = materialize(_compared(_pairs(materialize(_blocked(keys)))))
     named = found.where("kind = 'name'").select("a", "b")
     whole = materialize(connected_components(named))
-    lone = found.where("kind = 'lone'").join(whole.select(F.col("node").alias("b"), "component"), "b", "left")
-    lone = lone.select("a", F.coalesce("component", "b").alias("to"), "mistakes", (~F.col("b").contains(" ")).alias("single"))
+    lone = found.where("kind = 'cut'").join(whole.select(F.col("node").alias("b"), "component"), "b", "left")
+    lone = lone.select("a", F.coalesce("component", "b").alias("to"), "mistakes", (F.substring_index("b", " ~", 1).contains(" ") == F.lit(False)).alias("single"))
     rank = F.struct("single", "mistakes")
     best = lone.groupBy("a").agg(F.min(rank).alias("best"))
     tied = lone.join(best, "a").where(F.col("best") == rank).groupBy("a").agg(F.min("to").alias("b"), F.max("to").alias("other"))
