@@ -69,30 +69,28 @@ def _mistyped(word: str) -> str | None:
 
 
 def _shortens(short: str, whole: str) -> bool:
-    """Whether a word is short for another: its beginning, with a plural s or not, or some of its letters in order with one vowel at most."""
+    """Whether a word is short for another: its beginning, with a plural s or not, or up to seven of its letters in order with one vowel at most."""
     if short[0] != whole[0] or len(short) > len(whole) - 2:
         return False
     if whole.startswith(short) or (short[-1] == "s" and whole.startswith(short[:-1])):
         return True
     letters = iter(whole)
-    return sum(c in "aeiou" for c in short) < 2 and all(c in letters for c in short)
+    return len(short) < 8 and sum(c in "aeiou" for c in short) < 2 and all(c in letters for c in short)
 
 
 @lru_cache(1 << 16)
 def _kind(word: str) -> str:
-    """`` for a distinctive word, a given name for one of its forms, `-` for a word that doesn't tell organisations apart."""
+    """Empty for a distinctive word, the given names one may stand for joined by +, `-` for a word that doesn't tell organisations apart."""
     if word in GIVEN:
         return GIVEN[word]
-    if len(word) < 3 or word in GENERIC or (len(word) < 6 and not any(c in "aeiouy0123456789" for c in word)):
+    if len(word) < 3 or word in GENERIC:
         return "-"
-    if len(word) < 8 and word.isalpha():
-        if len(word) < 5:
-            name = next((n for n in NICKNAMES if _shortens(word, n)), None)
-            if name:
-                return name
+    if word.isalpha():
+        if len(word) < 5 and (names := [n for n in NICKNAMES if _shortens(word, n)]):
+            return "+".join(names)
         if any(_shortens(word, w) for w in TRADE | {"headquarters", "brothers"}):
             return "-"
-    return ""
+    return "-" if len(word) < 6 and not any(c in "aeiouy0123456789" for c in word) else ""
 
 
 def distinctive(name: str | None) -> list[str]:
@@ -111,7 +109,7 @@ def _parts(name: str | None) -> tuple[list[str], list[str]]:
     words = _WORD.findall(text)
     kinds = [(w, _kind(w)) for w in words]
     own = [w for w, k in kinds if not k]
-    given = sorted({k for _, k in kinds if k and k != "-"})
+    given = sorted({n for _, k in kinds if k and k != "-" for n in k.split("+")})
     if own and (given or (fixed := {w: _mistyped(w) for w in own}) and not all(fixed.values())):
         return sorted(set(own)), given
     if own:
