@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia.runtime import table
@@ -15,13 +15,21 @@ FIELDS = {
 }
 
 
-def ads(spark: SparkSession, folder: str, *fields: str, keep: tuple[str, ...] = ("company_id",)) -> DataFrame:
-    """Ads by id with the given payload fields; repeated rows count once. Only what is asked for is read and shuffled."""
+def ads(spark: SparkSession, folder: str, *fields: str, keep: tuple[str, ...] = ("company_id",), derived: dict[str, Column] | None = None) -> DataFrame:
+    """Ads by id with the given payload fields; repeated rows count once. Only what is asked for is read and shuffled.
+
+    With `derived` columns, made of the fields and of all columns of the table, only `keep` and these are shuffled.
+    """
     kind = ", ".join(f"`{f}` {FIELDS[f]}" for f in fields)
     rows = table(spark, folder, "opportunities")
     if fields:
         rows = rows.withColumn("_p", F.from_json("data", kind))
-    return rows.select("id", *keep, *[F.col(f"_p.{f}").alias(f) for f in fields]).dropDuplicates(["id"])
+    typed = {f: F.col(f"_p.{f}") for f in fields}
+    if derived:
+        shown = rows.withColumns(typed).select("id", *keep, *[c.alias(name) for name, c in derived.items()])
+    else:
+        shown = rows.select("id", *keep, *[c.alias(f) for f, c in typed.items()])
+    return shown.dropDuplicates(["id"])
 
 
 def feedback(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vacantia.functions import text as T
 from vacantia.operators import decisions as D
 from vacantia.operators.ranks import examples, latest
-from vacantia.operators.search import Filters, matching_ads, search
+from vacantia.operators.search import Filters, matches, matching_ads, search
 from vacantia.plans.archive import SQL, ads, feedback
 from vacantia.runtime import table
 
@@ -21,10 +21,17 @@ def company_status(spark: SparkSession, folder: str) -> DataFrame:
     return latest(events, ["company_id"], ["id"]).select("company_id", "status")
 
 
+def searched(spark: SparkSession, folder: str, f: Filters) -> DataFrame:
+    """(id, company_id, day, hit, near) of each ad: what a search needs to know of it."""
+    return ads(spark, folder, "locations", "posted_at", derived={"day": T.day("posted_at"), **f.marks()})
+
+
+def _sources(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "observations").select("opportunity_id", F.lower(F.trim("source")).alias("source"))
+
+
 def _search(spark: SparkSession, folder: str, f: Filters) -> DataFrame:
-    rows = ads(spark, folder, "locations", "posted_at", keep=("company_id", "data")).withColumn("day", T.day("posted_at"))
-    seen = table(spark, folder, "observations").select("opportunity_id", F.lower(F.trim("source")).alias("source"))
-    return search(table(spark, folder, "companies"), rows, company_status(spark, folder), f, sources=seen)
+    return search(table(spark, folder, "companies"), searched(spark, folder, f), company_status(spark, folder), f, sources=_sources(spark, folder))
 
 
 def search_text(spark: SparkSession, folder: str) -> DataFrame:
@@ -43,10 +50,10 @@ def search_status(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def search_text_ads(spark: SparkSession, folder: str) -> DataFrame:
-    """(company_id, id): the ads that answer `search_text`."""
-    f = Filters(text="postgresql", sort="roles", limit=500)
-    rows = ads(spark, folder, "locations", "posted_at", keep=("company_id", "data")).withColumn("day", T.day("posted_at"))
-    return matching_ads(search(table(spark, folder, "companies"), rows, company_status(spark, folder), f), rows, f)
+    """(company_id, id): the ads that answer `search_text`, of all companies that do."""
+    f = Filters(text="postgresql")
+    rows = searched(spark, folder, f)
+    return matching_ads(matches(table(spark, folder, "companies"), rows, company_status(spark, folder), f), rows, f)
 
 
 def search_page(spark: SparkSession, folder: str) -> DataFrame:
@@ -209,7 +216,7 @@ _TIERS = """select c_custkey, case when axis = 'yes' and coalesce(keeps, false)
 ORACLES = {
     "company_status": f"{SQL}, {_STATUS} select * from statuses",
     "search_text": _search_sql("postgresql", "true", "true", "matching_roles desc", "limit 500", False),
-    "search_text_ads": _search_sql("postgresql", "true", "true", "matching_roles desc", "limit 500", False).replace(
+    "search_text_ads": _search_sql("postgresql", "true", "true", "matching_roles desc", "", False).replace(
         "select p.id, p.name, p.status, p.opportunity_count, p.matching_roles, p.latest_posted from p", "select f.company_id, f.id from p join f on f.company_id = p.id where p.text_roles = 0 or f.hit"),
     "search_same_row": _search_sql("", "lower(cast(to_json(locations) as varchar)) like '%italia%' and (day is null or day >= '2026-03-01') and id in (select opportunity_id from observations where lower(trim(source)) = 'boardnova')", "true", "latest_posted desc nulls last", "limit 500", True),
     "search_status": _search_sql("", "true", "coalesce(s.status, 'new') = 'saved'", "lower(name) nulls first", "limit 500", False),

@@ -88,7 +88,8 @@ def refresh_equivalence(spark: SparkSession, folder: str) -> DataFrame:
     return U.refresh(inputs, compute(inputs.join(held, ["id", "content_hash"], "left_semi")), "id", ["content_hash"], compute)
 
 
-def _resolved(spark: SparkSession, folder: str) -> DataFrame:
+def resolved_places(spark: SparkSession, folder: str) -> DataFrame:
+    """(raw, opportunity_id, country, city, to_map): every place typed, resolved once for each distinct value."""
     aliases = alias_table(table(spark, folder, "geo_reference"), table(spark, folder, "city_reference"))
     places = table(spark, folder, "places").select("opportunity_id", "raw")
     return places.join(resolve(places, "raw", aliases), "raw")
@@ -96,24 +97,24 @@ def _resolved(spark: SparkSession, folder: str) -> DataFrame:
 
 def place_resolve(spark: SparkSession, folder: str) -> DataFrame:
     """(raw, country, city, to_map) of every distinct place typed."""
-    return _resolved(spark, folder).select("raw", "country", "city", "to_map").distinct()
+    return resolved_places(spark, folder).select("raw", "country", "city", "to_map").distinct()
 
 
 def place_options(spark: SparkSession, folder: str) -> DataFrame:
     """(country, total, cities): ads by city under their country; an ad in two cities of it counts twice in the total."""
-    n = _resolved(spark, folder).where("country is not null").groupBy("country", "city").agg(F.countDistinct("opportunity_id").alias("n"))
+    n = resolved_places(spark, folder).where("country is not null").groupBy("country", "city").agg(F.countDistinct("opportunity_id").alias("n"))
     return n.groupBy("country").agg(F.sum("n").alias("total"), F.to_json(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "city")))).alias("cities"))
 
 
 def places_unmapped(spark: SparkSession, folder: str) -> DataFrame:
     """(raw, ads): values that seem to name a city the list lacks."""
-    return _resolved(spark, folder).where("to_map").groupBy("raw").agg(F.countDistinct("opportunity_id").alias("ads"))
+    return resolved_places(spark, folder).where("to_map").groupBy("raw").agg(F.countDistinct("opportunity_id").alias("ads"))
 
 
 def place_labels(spark: SparkSession, folder: str) -> DataFrame:
     """(opportunity_id, labels): the canonical places of each ad."""
     city = table(spark, folder, "city_reference").select(F.col("ref_id").alias("city"), F.concat_ws(", ", "name", "country").alias("label"))
-    r = _resolved(spark, folder).join(city, "city").groupBy("opportunity_id").agg(F.collect_set("label").alias("l"))
+    r = resolved_places(spark, folder).join(city, "city").groupBy("opportunity_id").agg(F.collect_set("label").alias("l"))
     return r.select("opportunity_id", F.array_join(F.array_sort("l"), "; ").alias("labels"))
 
 
