@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Frequent words of all languages together that a plan may hold.
+MOST_WORDS = 20_000
+
+
 def _among(words: list[str]):
     return lambda x: x.isin(*words)
 
@@ -16,10 +20,14 @@ def detect_language(
     """(key, code, hits, confidence): the language whose frequent words a text holds most often.
 
     The code is empty where a text has too few words, too few hits, a tie, or less than the least share of all hits.
-    `profiles` has (lang, word) and is of a few hundred rows by its nature; it becomes literals of the plan.
+    `profiles` has (lang, word) and is of a few hundred rows by its nature; it becomes literals of the plan. More than
+    MOST_WORDS different ones are refused.
     """
     words: dict[str, set[str]] = {}
-    for r in profiles.where("lang is not null and word is not null").select("lang", F.lower("word").alias("word")).distinct().limit(20_000).collect():
+    rows = profiles.where("lang is not null and word is not null").select("lang", F.lower("word").alias("word")).distinct().limit(MOST_WORDS + 1).collect()
+    if len(rows) > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} words of languages")
+    for r in rows:
         words.setdefault(r.lang, set()).add(r.word)
     found = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[\p{L}\p{Nl}\p{No}]+"), F.lit(0))
     rows = texts.select(F.col(key), found.alias("w"))

@@ -10,8 +10,6 @@ from vacantia.functions.fold import fold
 #: Words that name no place.
 ANYWHERE = ("remote", "anywhere", "ovunque", "hybrid", "onsite", "on", "site", "office", "in", "flexible", "zdalnie", "worldwide", "global", "eu", "emea", "europe", "job", "jobs")
 _SEGMENT = r"[,;|/()\[\]]| - | · "
-#: Words of the longest alias.
-LONGEST = 5
 
 
 def alias_table(groups: DataFrame, members: DataFrame) -> DataFrame:
@@ -30,14 +28,15 @@ def resolve(raws: DataFrame, raw: str, aliases: DataFrame) -> DataFrame:
 
     A whole value that is an alias which counts alone wins. Else the country is the one named last, by an alias of four
     letters or more anywhere or by a short one as a whole segment; the city is that of the longest alias, a short one
-    only as a segment and beside a country, and never a city of another country. `to_map` says that a city seems to be
+    only as a segment and beside a country, and never a city of another country. Runs of words up to the longest alias are tried. `to_map` says that a city seems to be
     named that the list lacks. Null values are left out; each distinct value is read once.
     """
+    longest = F.coalesce(aliases.agg(F.max(F.size(F.split("words", " ")))).scalar(), F.lit(1))
     values = raws.select(F.col(raw).alias("raw")).where("raw is not null").distinct().withColumn("f", fold("raw"))
     word = lambda c: F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    cut = values.select("raw", word("f").alias("w"), F.filter(F.transform(F.split("f", _SEGMENT), lambda s: F.array_join(word(s), " ")), lambda s: s != "").alias("s"))
+    cut = values.select("raw", longest.alias("longest"), word("f").alias("w"), F.filter(F.transform(F.split("f", _SEGMENT), lambda s: F.array_join(word(s), " ")), lambda s: s != "").alias("s"))
     runs = F.flatten(F.transform("w", lambda x, i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.size("w") - i)),
+        F.sequence(F.lit(1), F.least(F.col("longest"), F.size("w") - i)),
         lambda n: F.struct(F.array_join(F.slice("w", i + 1, n), " ").alias("words"), i.alias("at"), F.lit(False).alias("segment")))))
     parts = F.transform("s", lambda x: F.struct(x.alias("words"), (F.size("w") - F.array_position(F.reverse("w"), x)).cast("int").alias("at"), F.lit(True).alias("segment")))
     said = cut.select("raw", F.explode(F.concat(runs, parts)).alias("x")).select("raw", "x.*")

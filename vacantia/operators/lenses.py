@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: name -> function giving (id, facet)
 Lenses = dict[str, Callable[[], DataFrame]]
 
 
+def marked(lenses: dict[str, tuple[Column, Column]]) -> Column:
+    """The (lens, facet) pairs of a row as an array, from (condition, facet) of each lens, so that one pass serves all of them."""
+    each = [F.when(where, F.struct(F.lit(name).alias("lens"), F.coalesce(facet, F.lit("")).alias("facet"))) for name, (where, facet) in lenses.items()]
+    return F.array_compact(F.array(*each))
+
+
+def tally(rows: Sequence[DataFrame]) -> DataFrame:
+    """(lens, facet, n) of rows (lens, facet), with a row of null facet for all rows of a lens; counted before anything is shuffled."""
+    whole = reduce(DataFrame.unionByName, [df.select("lens", "facet") for df in rows])
+    part = whole.rollup("lens", "facet").agg(F.count("*").alias("n"), F.grouping_id().alias("g")).where("g < 3")
+    return part.select("lens", F.when(F.col("g") == 0, F.col("facet")).alias("facet"), "n")
+
+
 def counts(lenses: Lenses) -> DataFrame:
     """(lens, facet, n) with a row of null facet and all rows of a lens as its total."""
     out = None

@@ -57,12 +57,16 @@ def round_robin(df: DataFrame, stratum: str, key: str, seed: str, limit: int) ->
 
 
 def audit_sample(df: DataFrame, group: str, closeness: Column, key: str, seed: str, size: int) -> DataFrame:
-    """`size` rows of each group: half of them (rounded up) nearest the limit, the others by a seeded hash of the key."""
-    near = F.row_number().over(Window.partitionBy(group).orderBy(closeness, key))
-    marked = df.withColumn("_near", near).withColumn("kind", F.when(F.col("_near") <= (size + 1) // 2, "boundary").otherwise("random"))
-    order = F.row_number().over(Window.partitionBy(group, "kind").orderBy(F.sha2(F.concat_ws(":", F.lit(seed), key), 256), key))
-    most = F.when(F.col("kind") == "boundary", (size + 1) // 2).otherwise(size // 2)
-    return marked.withColumn("_o", order).where(F.col("_o") <= most).drop("_near", "_o")
+    """`size` rows of each group: half of them (rounded up) nearest the limit, the others by a seeded hash of the key.
+
+    Keys are unique. Both choices are the first ranks of a window, which are cut down inside each partition before the
+    shuffle, so a group of any size sends no more than its sample from each task.
+    """
+    first = lambda rows, n, *order: rows.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+    near = first(df, (size + 1) // 2, closeness, key)
+    rest = df.join(near.select(key), key, "left_anti")
+    drawn = first(rest, size // 2, F.sha2(F.concat_ws(":", F.lit(seed), key), 256), key)
+    return near.withColumn("kind", F.lit("boundary")).unionByName(drawn.withColumn("kind", F.lit("random")))
 
 
 def nearest_rank(df: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:

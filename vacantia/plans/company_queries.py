@@ -151,15 +151,14 @@ def role_snapshot(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def basis_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
-    """(company_id, basis): digest over the content of all ads of a company in order; changes when any of them does.
+    """(company_id, basis): digest over the content of all ads of a company; changes when any of them does.
 
-    Only 64 digits an ad are gathered. A company with a third of all ads would be a large group, so content hashes are
-    first reduced to one digest for each of 4,096 ranges of ids, and these are put together.
+    The digests of the ads are put together by exclusive or, in four numbers of 60 bits, with map-side parts: nothing is
+    gathered, however many ads a company has. Ids are unique, so no ad cancels another.
     """
-    a = ads(spark, folder, keep=("company_id", "content_hash"))
-    part = a.groupBy("company_id", F.substring("id", 1, 3).alias("range")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "id", F.lower("content_hash")))), "|"), 256).alias("d"))
-    whole = part.groupBy("company_id").agg(F.array_sort(F.collect_list(F.struct("range", "d"))).alias("ds"))
-    return whole.select("company_id", F.sha2(F.array_join(F.transform("ds", lambda x: x["d"]), "|"), 256).alias("basis"))
+    a = ads(spark, folder, keep=("company_id", "content_hash")).withColumn("d", F.sha2(F.concat_ws(":", "id", F.lower("content_hash")), 256))
+    parts = [F.lpad(F.lower(F.hex(F.bit_xor(F.conv(F.substring("d", 15 * i + 1, 15), 16, 10).cast("long")))), 16, "0") for i in range(4)]
+    return a.groupBy("company_id").agg(F.concat(*parts).alias("basis"))
 
 
 def archive_versions(spark: SparkSession, folder: str) -> DataFrame:
@@ -231,8 +230,8 @@ ORACLES = {
     "feedback_append": f"""{SQL}, s as (select id, (status, coalesce(note, ''), coalesce(reason, ''), coalesce(until_date, '')) as said, company_id, opportunity_id from events_log where undone_at is null)
       select id from (select id, said, lag(said) over (partition by company_id, opportunity_id order by id) as before from s) where before is null or before <> said""",
     "role_snapshot": f"{SQL} select id, sha256(coalesce(title, '') || '|' || coalesce(remote_policy, '') || '|' || coalesce(employment_type, '')) as fingerprint from ads",
-    "basis_fingerprint": f"""{SQL}, p as (select company_id, id[1:3] as r, sha256(string_agg(case when content_hash is null then id else id || ':' || lower(content_hash) end, '|' order by id)) as d from ads group by 1, 2)
-      select company_id, sha256(string_agg(d, '|' order by r)) as basis from p group by 1""",
+    "basis_fingerprint": f"{SQL}, d as (select company_id, sha256(case when content_hash is null then id else id || ':' || lower(content_hash) end) as d from ads) select company_id, " + " || ".join(
+        f"lpad(lower(to_hex(bit_xor(cast('0x' || d[{15 * i + 1}:{15 * i + 15}] as bigint)))), 16, '0')" for i in range(4)) + " as basis from d group by 1",
     "longest_description": f"{SQL} select company_id, id, characters from (select company_id, id, length(description) as characters, row_number() over (partition by company_id order by length(description) desc, id) as k from ads where length(description) > 0) where k = 1",
     "best_company_text": """select company_id, doc_id, doc_type from (select *, row_number() over (partition by company_id order by list_position(['company_page', 'card_summary', 'evidence', 'ad_text'], doc_type), n_chars desc, doc_id) as k
       from documents where company_id is not null and n_chars >= 80 and doc_type in ('company_page', 'card_summary', 'evidence', 'ad_text')) where k = 1""",

@@ -15,6 +15,7 @@ from vacantia.operators import lenses as L
 from vacantia.operators import ranks as R
 from vacantia.plans.archive import SQL, ads, feedback
 from vacantia.plans.upkeep_queries import _EMPTY
+from vacantia.plans.text_queries import ORACLES as TEXTS
 from vacantia.runtime import table
 
 NONE = "Non determinato"
@@ -70,28 +71,29 @@ def date_ranges(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").groupBy("doc_type").agg(F.count("*").alias("documents"), F.min("created_at").alias("oldest"), F.max("created_at").alias("newest"))
 
 
-def _lenses(spark: SparkSession, folder: str) -> L.Lenses:
-    a = ads(spark, folder, "description", "source", "language", "posted_at", "title", "locations")
-    text = T.clean("description")
-    label = F.lower(T.clean("language"))
-    pick = lambda where, facet: lambda: a.where(where).select("id", facet.alias("facet"))
-    return {
-        "missing_text": pick(text == "", F.col("source")), "short_text": pick((text != "") & (F.length(text) < 300), F.col("source")), "unlabelled": pick((label == "") | label.isin("und", "unknown", "??"), F.col("source")),
-        "by_label": pick(label != "", label), "undated": pick(F.col("posted_at").isNull(), F.col("source")), "nowhere": pick(F.coalesce(F.size("locations"), F.lit(0)) <= 0, F.col("source")),
-        "markup": pick(F.col("description").contains("<"), F.col("source")), "long_title": pick(F.length("title") > 40, F.col("source")),
-        "decided": lambda: feedback(spark, folder).where("undone_at is null").select("id", F.col("status").alias("facet")), "undone": lambda: feedback(spark, folder).where("undone_at is not null").select("id", F.col("status").alias("facet")),
-        "reasonless": lambda: feedback(spark, folder).where("status = 'discarded' and reason is null").select("id", F.lit("").alias("facet")),
-        "no_site": lambda: table(spark, folder, "companies").where(T.host("website") == "").select("id", F.lower(T.clean("sectors")).alias("facet"))}
+def _lenses(spark: SparkSession, folder: str) -> list[DataFrame]:
+    """(id, lens, facet) of the twelve lenses, one pass over each table; no payload is shuffled."""
+    text, label, source = T.clean("description"), F.lower(T.clean("language")), F.col("source")
+    marks = L.marked({
+        "missing_text": (text == "", source), "short_text": ((text != "") & (F.length(text) < 300), source), "unlabelled": ((label == "") | label.isin("und", "unknown", "??"), source),
+        "by_label": (label != "", label), "undated": (F.col("posted_at").isNull(), source), "nowhere": (F.coalesce(F.size("locations"), F.lit(0)) <= 0, source),
+        "markup": (F.col("description").contains("<"), source), "long_title": (F.length("title") > 40, source)})
+    a = ads(spark, folder, "description", "source", "language", "posted_at", "title", "locations", keep=(), derived={"marks": marks})
+    status = F.col("status")
+    f = feedback(spark, folder).select("id", L.marked({
+        "decided": (F.col("undone_at").isNull(), status), "undone": (F.col("undone_at").isNotNull(), status), "reasonless": ((status == "discarded") & F.col("reason").isNull(), F.lit(""))}).alias("marks"))
+    c = table(spark, folder, "companies").select("id", L.marked({"no_site": (T.host("website") == "", F.lower(T.clean("sectors")))}).alias("marks"))
+    return [df.select(F.col("id").cast("string").alias("id"), F.explode("marks").alias("m")).select("id", "m.lens", "m.facet") for df in (a, f, c)]
 
 
 def lens_counts(spark: SparkSession, folder: str) -> DataFrame:
     """(lens, facet, n) of all twelve lenses, with totals."""
-    return L.counts({k: (lambda f=f: f().select(F.col("id").cast("string").alias("id"), "facet")) for k, f in _lenses(spark, folder).items()})
+    return L.tally(_lenses(spark, folder))
 
 
 def lens_rows(spark: SparkSession, folder: str) -> DataFrame:
     """The second page of ads with markup in their text."""
-    return L.page(_lenses(spark, folder), "markup", limit=25, offset=25)
+    return L.page({"markup": lambda: _lenses(spark, folder)[0].where("lens = 'markup'").select("id", "facet")}, "markup", limit=25, offset=25)
 
 
 def verdict_thresholds(spark: SparkSession, folder: str) -> DataFrame:
@@ -183,9 +185,9 @@ def stratified_sample(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def audit_sample(spark: SparkSession, folder: str) -> DataFrame:
-    """(l_returnflag, l_orderkey, kind): of each flag, items nearest the limit and others at random."""
-    li = table(spark, folder, "lineitem").where("l_linenumber = 1").select("l_returnflag", "l_orderkey", "l_quantity")
-    return R.audit_sample(li, "l_returnflag", F.abs(F.col("l_quantity") - 37.5), "l_orderkey", "audit", 15).select("l_returnflag", "l_orderkey", "kind")
+    """(l_returnflag, item, kind): of each flag, items of all lines nearest the limit and others at random."""
+    li = table(spark, folder, "lineitem").select("l_returnflag", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("item"), "l_quantity")
+    return R.audit_sample(li, "l_returnflag", F.abs(F.col("l_quantity") - 37.5), "item", "audit", 15).select("l_returnflag", "item", "kind")
 
 
 def confusion_matrix(spark: SparkSession, folder: str) -> DataFrame:
@@ -222,8 +224,7 @@ def latest_success(spark: SparkSession, folder: str) -> DataFrame:
     """(user_id, event_id, fresh): the last purchase of each user, and whether it is at most a day before the last event."""
     e = table(spark, folder, "events").select("user_id", "ts", "event_id", "event_type")
     last = R.latest(e.where("event_type = 'purchase'").select("user_id", "ts", "event_id"), ["user_id"], ["ts", "event_id"])
-    end = e.agg(F.max("ts")).first()[0]
-    return last.select("user_id", "event_id", (F.col("ts") >= F.lit(end) - F.expr("interval 1 day")).alias("fresh"))
+    return last.select("user_id", "event_id", (F.col("ts") >= e.agg(F.max("ts")).scalar() - F.expr("interval 1 day")).alias("fresh"))
 
 
 def json_payload_facets(spark: SparkSession, folder: str) -> DataFrame:
@@ -242,15 +243,14 @@ def attempt_outcomes(spark: SparkSession, folder: str) -> DataFrame:
 def retry_queue(spark: SparkSession, folder: str) -> DataFrame:
     """(id): standing decisions whose date to come back has passed by the log's last day; without a date they wait."""
     f = feedback(spark, folder)
-    end = f.agg(F.date_format(F.max("created_at"), "yyyy-MM-dd")).first()[0]
-    return f.where("undone_at is null").where(F.col("until_date") <= F.lit(end)).select("id")
+    end = f.agg(F.date_format(F.max("created_at"), "yyyy-MM-dd")).scalar()
+    return f.where("undone_at is null").where(F.col("until_date") <= end).select("id")
 
 
 def staleness(spark: SparkSession, folder: str) -> DataFrame:
     """(id, stale): ads not seen for two weeks before the archive's last sight; never seen is stale."""
     a = ads(spark, folder, keep=("last_seen",))
-    end = a.agg(F.max("last_seen")).first()[0]
-    return a.select("id", F.coalesce(F.datediff(F.lit(end), "last_seen") >= 14, F.lit(True)).alias("stale"))
+    return a.select("id", F.coalesce(F.datediff(a.agg(F.max("last_seen")).scalar(), "last_seen") >= 14, F.lit(True)).alias("stale"))
 
 
 def population_freeze(spark: SparkSession, folder: str) -> DataFrame:
@@ -286,6 +286,8 @@ QUERIES = {f.__name__: f for f in (
     latest_success, json_payload_facets, attempt_outcomes, retry_queue, staleness, population_freeze, answer_batches, category_coverage, subset_violations)}
 
 _C = lambda c: f"case when {c} is null or lower(trim(regexp_replace({c}, '\\s+', ' ', 'g'))) in ('n/a', 'none', 'null', 'nan') then '' else trim(regexp_replace({c}, '\\s+', ' ', 'g')) end"
+#: A text on one line, sentinels as empty.
+_FLAT = r"case when {0} is null or lower(trim(regexp_replace({0}, '[\s\p{{Z}}\x0b\x1c-\x1f\x{{85}}]+', ' ', 'g'))) in ('n/a', 'none', 'null', 'nan') then '' else trim(regexp_replace({0}, '[\s\p{{Z}}\x0b\x1c-\x1f\x{{85}}]+', ' ', 'g')) end"
 _NOWHERE = "coalesce(len(locations), 0) = 0"
 _VERDICT = """case when c >= {0} then 'exclude' when b >= {1} and a >= {1} then 'review' when b >= {1} and a <= 0.2 then 'exclude' when b < 0.05 then 'review' when a >= {0} then 'keep' when a <= 0.2 then 'exclude' else 'review' end"""
 _SCORED = "(select *, l_quantity / 50 as a, l_discount * 10 as b, l_tax * 12.5 as c from lineitem)"
@@ -329,9 +331,9 @@ ORACLES = {
       select company_id, texts, characters from s where i = (select max(i) from d where d.company_id = s.company_id) and texts > 0""",
     "stratified_sample": """with s as (select doc_id, doc_type, sha256('20260908:' || doc_id) as h from documents where n_chars > 0), r as (select *, row_number() over (partition by doc_type order by h, doc_id) as turn from s),
       c as (select doc_id, doc_type, row_number() over (order by turn, doc_type) - 1 as position from r) select *, case when position % 5 = 4 then 'holdout' else 'development' end as split from c where position < 40""",
-    "audit_sample": """with n as (select *, row_number() over (partition by l_returnflag order by abs(l_quantity - 37.5), l_orderkey) as k, sha256('audit:' || l_orderkey) as h from lineitem where l_linenumber = 1),
-      m as (select *, case when k <= 8 then 'boundary' else 'random' end as kind from n), o as (select *, row_number() over (partition by l_returnflag, kind order by h, l_orderkey) as p from m)
-      select l_returnflag, l_orderkey, kind from o where p <= case when kind = 'boundary' then 8 else 7 end""",
+    "audit_sample": """with i as (select l_returnflag, l_quantity, l_orderkey || '-' || l_linenumber as item from lineitem), n as (select *, row_number() over (partition by l_returnflag order by abs(l_quantity - 37.5), item) as k, sha256('audit:' || item) as h from i),
+      m as (select *, case when k <= 8 then 'boundary' else 'random' end as kind from n), o as (select *, row_number() over (partition by l_returnflag, kind order by h, item) as p from m)
+      select l_returnflag, item, kind from o where p <= case when kind = 'boundary' then 8 else 7 end""",
     "nearest_rank_percentiles": """with r as (select event_type, value, row_number() over (partition by event_type order by value) - 1 as i, count(*) over (partition by event_type) as n from events where value is not null)
       select event_type, max(n) as n, max(value) filter (i = least(floor(n * 0.5), n - 1)) as p50, max(value) filter (i = least(floor(n * 0.95), n - 1)) as p95 from r group by 1""",
     "breaker_first_stop": """with e as (select *, event_type = 'error' as failed, row_number() over w as c, sum((event_type = 'error')::int) over w as f, sum((event_type <> 'error')::int) over w as i from events window w as (partition by user_id order by ts, event_id)),
@@ -348,6 +350,7 @@ ORACLES = {
       select batch, count(*) filter (b is null) = 0 and count(*) filter (a is null) = 0 as complete, count(*) filter (b is null) as missing, count(*) filter (a is null) as foreign from a full join b using (batch, id) group by 1""".replace(" as foreign", ' as "foreign"'),
     "category_coverage": "select n_name, c_mktsegment, count(*) as customers from customer join nation on c_nationkey = n_nationkey group by 1, 2",
     "subset_violations": f"{SQL} select e.id from events_log e where opportunity_id is not null and not exists (select 1 from ads a where a.id = e.opportunity_id and a.company_id = e.company_id)",
-    "confusion_matrix": "",
+    "queue_plan": f"""select case when size = 0 then 'empty' when size > 4000 then 'oversized' else 'planned' end as kind, count(*) as n, cast(sum(size) as bigint) as characters from (select length({_FLAT.format('text')}) as size from documents) group by 1""",
+    "attempt_outcomes": f"""select doc_type, case when text is null then 'missing' when {_FLAT.format('text')} = '' then 'blank' when length(text) < 80 then 'stub' else 'available' end as outcome, count(*) as n from documents group by 1, 2""",
+    "confusion_matrix": f"select coalesce(lower(d.lang), 'pending') as expected, f.code as predicted, count(*) as n from documents d join ({TEXTS['language_detect']}) f on f.doc_id = d.doc_id group by 1, 2",
 }
-del ORACLES["confusion_matrix"]

@@ -26,10 +26,10 @@ def _seen(spark: SparkSession, folder: str) -> DataFrame:
 def _closures(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     seen = _seen(spark, folder)
     day = ads(spark, folder, "posted_at").select("id", "company_id", T.day("posted_at").alias("day"))
-    closed = feedback(spark, folder).where("status = 'discarded' and opportunity_id is not null").select(F.col("opportunity_id").alias("id")).distinct()
-    start = seen.agg(F.max("delivered_at") - F.expr("interval 7 days")).first()[0]
+    closed = feedback(spark, folder).where("status = 'discarded' and undone_at is null and opportunity_id is not null").select(F.col("opportunity_id").alias("id")).distinct()
+    start = seen.agg(F.max("delivered_at") - F.expr("interval 7 days")).scalar()
     hours = F.when(F.col("source").startswith("ats"), F.lit(None).cast("int")).otherwise(F.lit(WEEKS))
-    sources = seen.select("source").distinct().withColumn("hours", hours).withColumn("started", F.lit(start))
+    sources = seen.select("source").distinct().withColumn("hours", hours).withColumn("started", start)
     return U.closures(seen, day, closed, sources, 0.5)
 
 
@@ -192,7 +192,7 @@ QUERIES = {f.__name__: f for f in (
     source_quality, dup_groups, dup_exact, fair_queue, excluded_companies, protected_rows, reset_rows, wanted_written, title_examples, employer_sentences)}
 
 _SEEN = "seen as (select opportunity_id as id, lower(trim(source)) as source, source_url, observed_at as seen_at, delivered_at, snapshot_no, lower(content_hash) as content_hash from observations)"
-_CLOSE = f"""{SQL}, {_SEEN}, st as (select max(delivered_at) - interval 7 day as started from seen), cl as (select distinct opportunity_id as id from events_log where status = 'discarded' and opportunity_id is not null),
+_CLOSE = f"""{SQL}, {_SEEN}, st as (select max(delivered_at) - interval 7 day as started from seen), cl as (select distinct opportunity_id as id from events_log where status = 'discarded' and undone_at is null and opportunity_id is not null),
   m as (select s.source, a.id, l.last < st.started and (s.source like 'ats%' or coalesce({_DAY} >= strftime(st.started - interval {WEEKS} hour + interval 1 day, '%Y-%m-%d'), false)) as gone
     from (select distinct id, source from seen) s join ads a on a.id = s.id join (select id, max(seen_at) as last from seen group by 1) l on l.id = s.id cross join st where a.id not in (select id from cl)),
   t as (select source, count(*) as population, count(*) filter (gone) as gone, count(*) filter (gone) > 0.5 * count(*) as skipped from m group by 1)"""

@@ -29,8 +29,8 @@ def _roles(spark: SparkSession, folder: str) -> DataFrame:
     model = F.when(policy.isin("remote", "hybrid"), V.KEEP).when(policy == "on-site", V.DROP).otherwise(V.UNKNOWN)
     said = latest_feedback(spark, folder).where("opportunity_id is not null")
     users = said.groupBy(F.col("opportunity_id").alias("id")).agg(F.max(F.struct("id", "status"))["status"].alias("s")).select("id", F.when(F.col("s") == "saved", V.KEEP).when(F.col("s") == "discarded", V.DROP).alias("verdict"))
-    newest = rows.agg(F.max("last_seen").alias("newest"))
-    closed = rows.select("id", "last_seen").join(F.broadcast(newest)).where("last_seen is null or datediff(newest, last_seen) >= 14").select("id")
+    newest = rows.agg(F.max("last_seen")).scalar()
+    closed = rows.where(F.coalesce(F.datediff(newest, "last_seen") >= 14, F.lit(True))).select("id")
     return V.role_verdicts(rows, [("rules", rules), ("model", model)], title.rlike(PRIMARY), [("user", users)], closed, title.rlike(PHD))
 
 
