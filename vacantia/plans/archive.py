@@ -48,3 +48,5 @@ with ads as (
     json_extract_string(data, '$.language') as language from opportunities),
 events_log as (select distinct * from feedback)
 """
+#: A text on one line, sentinels as empty, for the SQL checks.
+FLAT = r"case when {0} is null or lower(trim(regexp_replace({0}, '[\s\p{{Z}}\x0b\x1c-\x1f\x{{85}}]+', ' ', 'g'))) in ('n/a', 'none', 'null', 'nan') then '' else trim(regexp_replace({0}, '[\s\p{{Z}}\x0b\x1c-\x1f\x{{85}}]+', ' ', 'g')) end"

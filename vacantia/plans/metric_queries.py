@@ -13,7 +13,7 @@ from vacantia.operators import decisions as D
 from vacantia.operators import grounding as G
 from vacantia.operators import lenses as L
 from vacantia.operators import ranks as R
-from vacantia.plans.archive import SQL, ads, feedback
+from vacantia.plans.archive import FLAT, SQL, ads, feedback
 from vacantia.plans.upkeep_queries import _EMPTY
 from vacantia.plans.text_queries import ORACLES as TEXTS
 from vacantia.runtime import table
@@ -273,11 +273,16 @@ def category_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return c.groupBy("n_name", "c_mktsegment").agg(F.count("*").alias("customers"))
 
 
+#: Reasons that rules may give at present.
+ACTIVE = ("location", "sector", "seniority", "other")
+
+
 def subset_violations(spark: SparkSession, folder: str) -> DataFrame:
-    """(id): decisions on ads that aren't of the company they name, or don't exist."""
-    f = feedback(spark, folder).where("opportunity_id is not null").select("id", "company_id", "opportunity_id")
+    """(id, kind): decisions on ads that aren't of the company they name, or don't exist, and decisions for a reason that isn't active."""
+    f = feedback(spark, folder).select("id", "company_id", "opportunity_id", "reason")
     own = ads(spark, folder).select(F.col("id").alias("opportunity_id"), "company_id")
-    return f.join(own, ["opportunity_id", "company_id"], "left_anti").select("id")
+    foreign = f.where("opportunity_id is not null").join(own, ["opportunity_id", "company_id"], "left_anti").select("id", F.lit("ad").alias("kind"))
+    return foreign.unionByName(f.where(~F.col("reason").isin(*ACTIVE)).select("id", F.lit("reason").alias("kind")))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -286,8 +291,6 @@ QUERIES = {f.__name__: f for f in (
     latest_success, json_payload_facets, attempt_outcomes, retry_queue, staleness, population_freeze, answer_batches, category_coverage, subset_violations)}
 
 _C = lambda c: f"case when {c} is null or lower(trim(regexp_replace({c}, '\\s+', ' ', 'g'))) in ('n/a', 'none', 'null', 'nan') then '' else trim(regexp_replace({c}, '\\s+', ' ', 'g')) end"
-#: A text on one line, sentinels as empty.
-_FLAT = r"case when {0} is null or lower(trim(regexp_replace({0}, '[\s\p{{Z}}\x0b\x1c-\x1f\x{{85}}]+', ' ', 'g'))) in ('n/a', 'none', 'null', 'nan') then '' else trim(regexp_replace({0}, '[\s\p{{Z}}\x0b\x1c-\x1f\x{{85}}]+', ' ', 'g')) end"
 _NOWHERE = "coalesce(len(locations), 0) = 0"
 _VERDICT = """case when c >= {0} then 'exclude' when b >= {1} and a >= {1} then 'review' when b >= {1} and a <= 0.2 then 'exclude' when b < 0.05 then 'review' when a >= {0} then 'keep' when a <= 0.2 then 'exclude' else 'review' end"""
 _SCORED = "(select *, l_quantity / 50 as a, l_discount * 10 as b, l_tax * 12.5 as c from lineitem)"
@@ -349,8 +352,9 @@ ORACLES = {
     "answer_batches": """with a as (select distinct l_orderkey as batch, l_partkey as id, 1 as a from lineitem where l_returnflag <> 'N'), b as (select distinct l_orderkey as batch, l_partkey as id, 1 as b from lineitem where (l_linestatus = 'F' or l_quantity > 25) and l_discount < 0.09)
       select batch, count(*) filter (b is null) = 0 and count(*) filter (a is null) = 0 as complete, count(*) filter (b is null) as missing, count(*) filter (a is null) as foreign from a full join b using (batch, id) group by 1""".replace(" as foreign", ' as "foreign"'),
     "category_coverage": "select n_name, c_mktsegment, count(*) as customers from customer join nation on c_nationkey = n_nationkey group by 1, 2",
-    "subset_violations": f"{SQL} select e.id from events_log e where opportunity_id is not null and not exists (select 1 from ads a where a.id = e.opportunity_id and a.company_id = e.company_id)",
-    "queue_plan": f"""select case when size = 0 then 'empty' when size > 4000 then 'oversized' else 'planned' end as kind, count(*) as n, cast(sum(size) as bigint) as characters from (select length({_FLAT.format('text')}) as size from documents) group by 1""",
-    "attempt_outcomes": f"""select doc_type, case when text is null then 'missing' when {_FLAT.format('text')} = '' then 'blank' when length(text) < 80 then 'stub' else 'available' end as outcome, count(*) as n from documents group by 1, 2""",
+    "subset_violations": f"""{SQL} select e.id, 'ad' as kind from events_log e where opportunity_id is not null and not exists (select 1 from ads a where a.id = e.opportunity_id and a.company_id = e.company_id)
+      union all select id, 'reason' from events_log where reason not in {ACTIVE}""",
+    "queue_plan": f"""select case when size = 0 then 'empty' when size > 4000 then 'oversized' else 'planned' end as kind, count(*) as n, cast(sum(size) as bigint) as characters from (select length({FLAT.format('text')}) as size from documents) group by 1""",
+    "attempt_outcomes": f"""select doc_type, case when text is null then 'missing' when {FLAT.format('text')} = '' then 'blank' when length(text) < 80 then 'stub' else 'available' end as outcome, count(*) as n from documents group by 1, 2""",
     "confusion_matrix": f"select coalesce(lower(d.lang), 'pending') as expected, f.code as predicted, count(*) as n from documents d join ({TEXTS['language_detect']}) f on f.doc_id = d.doc_id group by 1, 2",
 }

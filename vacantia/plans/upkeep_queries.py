@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia.functions import text as T
-from vacantia.functions.fold import fold
+from vacantia.functions.fold import STROKES, fold
 from vacantia.functions.html import html_lines
-from vacantia.functions.places import alias_table, resolve
+from vacantia.functions.places import ANYWHERE, alias_table, resolve
 from vacantia.operators import upkeep as U
 from vacantia.operators.evidence import employer_sentences as told_by
 from vacantia.operators.ranks import examples, latest, running_rank
-from vacantia.plans.archive import SQL, ads, feedback
+from vacantia.plans.archive import FLAT, SQL, ads, feedback
 from vacantia.plans.company_queries import _DAY
 from vacantia.runtime import table
 
@@ -101,9 +101,9 @@ def place_resolve(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def place_options(spark: SparkSession, folder: str) -> DataFrame:
-    """(country, total, cities): ads by city under their country; an ad in two cities of it counts twice in the total."""
+    """(country, total, cities): ads by city under their country as `city:ads`, most first; an ad in two cities of it counts twice in the total."""
     n = resolved_places(spark, folder).where("country is not null").groupBy("country", "city").agg(F.countDistinct("opportunity_id").alias("n"))
-    return n.groupBy("country").agg(F.sum("n").alias("total"), F.to_json(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "city")))).alias("cities"))
+    return n.groupBy("country").agg(F.sum("n").alias("total"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "city"))), lambda c: F.concat_ws(":", c["city"], -c["o"])), ",").alias("cities"))
 
 
 def places_unmapped(spark: SparkSession, folder: str) -> DataFrame:
@@ -200,7 +200,41 @@ _EMPTY = "coalesce(lower(trim(regexp_replace(description, '\\s+', ' ', 'g'))), '
 _HELD = "held as (select id, content_hash from (select *, row_number() over (partition by id order by snapshot_no desc, content_hash desc nulls last) as k from seen) where k = 1)"
 _PROTECTED = """p as (select opportunity_id as id from events_log union select opportunity_id from documents where doc_type = 'review_note'
   union select id from ads where company_id in (select company_id from events_log where opportunity_id is null and status = 'saved'))"""
+#: Folding in SQL, enough for what the tables hold.
+def _fold_sql(c: str) -> str:
+    out = f"lower({c})"
+    for letter, plain in {"ß": "ss", **STROKES}.items():
+        out = f"replace({out}, '{letter}', '{plain}')"
+    return f"strip_accents({out})"
+
+
+_WORDS = r"list_filter(regexp_split_to_array({0}, '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+_PLACES = f"""with al0 as (select ref_id as country, null::int as city, false as alone, unnest(list_distinct([name] || coalesce(aliases, []))) as alias from geo_reference
+  union all select g.ref_id, c.ref_id, null, unnest(list_distinct([c.name] || coalesce(c.aliases, []))) from city_reference c join geo_reference g on g.name = c.country),
+al as (select distinct a.country, a.city, coalesce(alone, list_contains(c.standalone_aliases, alias), false) as alone, length(alias) <= 3 as short, array_to_string({_WORDS.format(_fold_sql('alias'))}, ' ') as words from al0 a left join city_reference c on c.ref_id = a.city),
+v as (select raw, {_fold_sql('raw')} as f from (select distinct raw from places where raw is not null)),
+cut as (select raw, {_WORDS.format('f')} as w, list_filter(list_transform(regexp_split_to_array(f, '[,;|/()\\[\\]]| - | · '), lambda s: array_to_string({_WORDS.format('s')}, ' ')), lambda s: s <> '') as s from v),
+said as (select raw, array_to_string(w[i + 1 : i + n], ' ') as words, i as pos, false as segment from (select raw, w, i, unnest(range(1, len(w) - i + 1)) as n from (select raw, w, unnest(range(0, len(w))) as i from cut)) where n <= 12
+  union all select raw, x, len(w) - coalesce(list_position(list_reverse(w), x), 0), true from (select raw, w, unnest(s) as x from cut)),
+whole as (select raw, count(*) as n from said where segment group by 1),
+hits as (select h.*, a.country, a.city, a.alone and segment and n = 1 as sole from said h join al a using (words) join whole using (raw) where segment = short and words <> ''),
+found as (select raw, max(struct_pack(country := country, city := city)) filter (sole) as sole, struct_extract(max(struct_pack(pos := pos, country := country)) filter (city is null), 'country') as named, list(distinct words) filter (city is null) as country_words from hits group by 1),
+best as (select h.raw, max(struct_pack(size := length(words), country := h.country, city := h.city, segment := segment)) as best from hits h join found f using (raw) where h.city is not null and ((named is null and not segment) or h.country = named) group by 1),
+r0 as (select c.raw, coalesce(sole.country, named, best.country) as country, coalesce(sole.city, best.city) as city, string_split(coalesce(s[1], ''), ' ') as first, list_transform(coalesce(country_words, []), lambda x: string_split(x, ' ')) as used from cut c left join found using (raw) left join best using (raw)),
+resolved as (select raw, country, city, city is null and len(list_filter(first, lambda x: x <> '' and not list_contains({list(ANYWHERE)}, x) and not list_contains(flatten(used), x))) > 0 as to_map from r0),
+rp as (select p.opportunity_id, r.* from places p join resolved r using (raw))"""
 ORACLES = {
+    "place_resolve": f"{_PLACES} select distinct raw, country, city, to_map from rp",
+    "place_options": f"""{_PLACES}, n as (select country, city, count(distinct opportunity_id) as n from rp where country is not null group by 1, 2)
+      select country, cast(sum(n) as bigint) as total, string_agg(case when city is null then '' || n else city || ':' || n end, ',' order by n desc, city nulls first) as cities from n group by 1""",
+    "places_unmapped": f"{_PLACES} select raw, count(distinct opportunity_id) as ads from rp where to_map group by 1",
+    "place_labels": f"""{_PLACES} select opportunity_id, string_agg(label, '; ' order by label) as labels from (select distinct opportunity_id, c.name || ', ' || c.country as label from rp join city_reference c on c.ref_id = rp.city) group by 1""",
+    "ingest_normalize": rf"""{SQL}, n as (select a.id, {FLAT.format('c.name')} as company_name, {FLAT.format('a.title')} as title, {FLAT.format('a.source_url')} as u, nullif({FLAT.format('a.remote_policy')}, '') as remote_policy from ads a left join companies c on c.id = a.company_id),
+      p as (select *, regexp_full_match(u, '(?i)https?://[^/?#@\s]+(/[^?#\s]*)?(\?[^#\s]*)?(#.*)?') as good, lower(regexp_extract(u, '(?i)^(https?)://', 1)) as scheme, lower(regexp_extract(u, '(?i)^https?://([^/?#@\s]+)', 1)) as h,
+        regexp_replace(regexp_extract(u, '(?i)^https?://[^/?#@\s]+(/[^?#\s]*)', 1), '/+$', '') as path,
+        array_to_string(list_filter(string_split(regexp_extract(u, '\?([^#]*)', 1), '&'), lambda x: x <> '' and not regexp_matches(x, '(?i)^(utm_[^=]*|fbclid|gclid)(=.*)?$')), '&') as q from n),
+      o as (select id, company_name, title, case when good then scheme || '://' || h || case when path = '' then '/' else path end || case when q = '' then '' else '?' || q end else '' end as source_url, remote_policy from p)
+      select *, case when company_name = '' or title = '' or source_url = '' then 'company_name, title and one http(s) address are required' end as reason from o""",
     "closure_detect": _CLOSE + " select m.source, m.id from m join t using (source) where m.gone and not t.skipped",
     "closure_shares": _CLOSE + " select * from t",
     "freshness_stale": f"{SQL}, {_SEEN}, {_HELD} select a.id from ads a left join held h on h.id = a.id where h.id is null or h.content_hash is distinct from lower(a.content_hash)",
