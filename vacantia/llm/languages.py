@@ -33,6 +33,9 @@ LABELS = {
 CODES = {name: code for code, names in LABELS.items() for name in names.split()}
 #: Labelled texts the field is trained on, at most; they are the first by hash of their key, so the same at every run.
 SAMPLE = 1000
+#: Words of all lexicons together that the field may hold.
+MOST_WORDS = 100_000
+_TRAINED: dict[str, Field] = {}
 _BLOCK = re.compile(r"</?(?:p|div|li|ul|ol|br|h\d|tr|td|section)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[^>]*>")
 _END = re.compile(r"(?<=[.!?…])[\s]+|\n+")
@@ -156,15 +159,25 @@ def _loaded(model: bytes) -> Field:
 
 
 def fit(texts: DataFrame, key: str, text: str, label: str, lexicon: DataFrame, sample: int = SAMPLE) -> Field:
-    """The field trained on `sample` labelled rows, the first by hash of their key; the rest of `texts` isn't collected."""
-    codes = {n: c for n, c in CODES.items()}
-    known = F.lower(F.trim(F.split_part(F.regexp_replace(label, "[-_]", " "), F.lit(" "), F.lit(1)))).isin(list(codes))
+    """The field trained on `sample` labelled rows, the first by hash of their key; the rest of `texts` isn't collected.
+
+    It is trained once in a driver's process for the same rows and lexicon. A lexicon of more than MOST_WORDS is refused.
+    """
+    known = F.lower(F.trim(F.split_part(F.regexp_replace(label, "[-_]", " "), F.lit(" "), F.lit(1)))).isin(list(CODES))
     rows = texts.where(F.col(text).isNotNull() & known & (F.length(text) >= 60)).select(F.col(text).alias("t"), F.col(label).alias("l"), F.xxhash64(key).alias("h"))
     chosen = [(r.t, label_code(r.l)) for r in rows.orderBy("h", "t").limit(sample).collect()]
     words: dict[str, list[str]] = {}
-    for r in lexicon.where("word is not null and lang is not null").select("lang", "word").distinct().orderBy("lang", "word").limit(100_000).collect():
+    listed = lexicon.where("word is not null and lang is not null").select("lang", "word").distinct().orderBy("lang", "word").limit(MOST_WORDS + 1).collect()
+    if len(listed) > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} words in the lexicon")
+    for r in listed:
         words.setdefault(r.word.lower(), []).append(r.lang)
-    return train([(t, c) for t, c in chosen if c], words)
+    learned = [(t, c) for t, c in chosen if c]
+    name = xxhash.xxh128_hexdigest(pickle.dumps((learned, sorted(words.items()))))
+    if name not in _TRAINED:
+        _TRAINED.clear()
+        _TRAINED[name] = train(learned, words)
+    return _TRAINED[name]
 
 
 def label_languages(df: DataFrame, key: str, text: Column, field: Field) -> DataFrame:
