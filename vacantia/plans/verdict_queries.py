@@ -21,7 +21,7 @@ CITY = 101
 PREFERRED = ("Energy", "Water", "Mobility")
 
 
-def _roles(spark: SparkSession, folder: str) -> DataFrame:
+def roles(spark: SparkSession, folder: str) -> DataFrame:
     title = F.lower(F.coalesce(F.col("title"), F.lit("")))
     policy = F.lower(T.clean("remote_policy"))
     rows = ads(spark, folder, "title", "remote_policy", keep=("company_id", "last_seen"))
@@ -39,23 +39,23 @@ def _labels(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("company_id", F.col("col").alias("category"), F.col("pos").alias("rank"), F.lit("rules").alias("method"))
 
 
-def _tiers(spark: SparkSession, folder: str) -> DataFrame:
-    return V.company_tiers(V.label_summary(table(spark, folder, "companies"), _labels(spark, folder)), _roles(spark, folder), PREFERRED)
+def tiers(spark: SparkSession, folder: str) -> DataFrame:
+    return V.company_tiers(V.label_summary(table(spark, folder, "companies"), _labels(spark, folder)), roles(spark, folder), PREFERRED)
 
 
 def role_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     """(id, company_id, verdict, judge, primary, closed, eligibility, phd) of each ad of the archive."""
-    return _roles(spark, folder)
+    return roles(spark, folder)
 
 
 def archive_tiers(spark: SparkSession, folder: str) -> DataFrame:
     """(id, category, axis, tier, keeps) of each company, from its sectors, its ads and the decisions on them."""
-    return _tiers(spark, folder)
+    return tiers(spark, folder)
 
 
 def archive_tier_counts(spark: SparkSession, folder: str) -> DataFrame:
     """(tier, axis, companies, with_keeps): companies by tier."""
-    return _tiers(spark, folder).groupBy("tier", "axis").agg(F.count("*").alias("companies"), F.count_if(F.col("keeps") > 0).alias("with_keeps"))
+    return tiers(spark, folder).groupBy("tier", "axis").agg(F.count("*").alias("companies"), F.count_if(F.col("keeps") > 0).alias("with_keeps"))
 
 
 def category_summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -79,9 +79,9 @@ def _context(spark: SparkSession, folder: str, f: Filters) -> dict[str, DataFram
     if f.country or f.city:
         found["places"] = resolved_places(spark, folder)
     if f.eligibility or f.phd or f.tier:
-        found["roles"] = _roles(spark, folder)
+        found["roles"] = roles(spark, folder)
     if f.tier:
-        found["tiers"] = _tiers(spark, folder)
+        found["tiers"] = tiers(spark, folder)
     if f.category:
         found["labels"] = _labels(spark, folder)
     return found
@@ -114,8 +114,8 @@ def search_unlabelled(spark: SparkSession, folder: str) -> DataFrame:
 def search_phd(spark: SparkSession, folder: str) -> DataFrame:
     """Companies with ads whose titles speak of modelling in place of a doctorate, which no title of the archive has."""
     f = Filters(phd=True, sort="roles", limit=500)
-    roles = _roles(spark, folder).withColumn("phd", F.col("primary") & (F.col("eligibility") != "excluded"))
-    return search(table(spark, folder, "companies"), searched(spark, folder, f), company_status(spark, folder), f, roles=roles)
+    found = roles(spark, folder).withColumn("phd", F.col("primary") & (F.col("eligibility") != "excluded"))
+    return search(table(spark, folder, "companies"), searched(spark, folder, f), company_status(spark, folder), f, roles=found)
 
 
 def search_city(spark: SparkSession, folder: str) -> DataFrame:
@@ -133,15 +133,15 @@ QUERIES = {f.__name__: f for f in (
     role_verdicts, archive_tiers, archive_tier_counts, category_summary, labels_replaced, search_eligibility, search_tier, search_category, search_unlabelled, search_phd, search_city, search_total)}
 
 _TIDY = lambda c: f"case when {c} is null or lower(trim({c})) in ('n/a', 'none', 'null', 'nan') then '' else lower(trim(regexp_replace({c}, '\\s+', ' ', 'g'))) end"
-_ROLES = f"""last as (select * from (select *, row_number() over (partition by opportunity_id order by id desc) as k from events_log where undone_at is null and opportunity_id is not null) where k = 1),
+ROLES_SQL = f"""last as (select * from (select *, row_number() over (partition by opportunity_id order by id desc) as k from events_log where undone_at is null and opportunity_id is not null) where k = 1),
   ju as (select a.id, a.company_id, lower(coalesce(title, '')) as t, {_TIDY('remote_policy')} as policy, case l.status when 'saved' then 'tieni' when 'discarded' then 'scarta' end as u,
     last_seen is null or date_diff('day', cast(last_seen as date), cast((select max(last_seen) from ads) as date)) >= 14 as closed from ads a left join last l on l.opportunity_id = a.id),
   jv as (select *, case when regexp_matches(t, '{REFUSED}') then 'scarta' end as r, case when policy in ('remote', 'hybrid') then 'tieni' when policy = 'on-site' then 'scarta' end as m from ju),
   roles as (select id, company_id, coalesce(u, r, m, 'non_so') as verdict, case when u is not null then 'user' when r is not null then 'rules' when m is not null then 'model' end as judge,
     regexp_matches(t, '{PRIMARY}') or coalesce(u = 'tieni', false) as "primary", closed, case coalesce(u, r, m, 'non_so') when 'tieni' then 'potential' when 'scarta' then 'excluded' else 'review' end as eligibility, regexp_matches(t, '{PHD}') as phd from jv)"""
-_LABELS = f"""sec as ({METRICS['keyword_sectors']}), labels as (select id as company_id, unnest(string_split(labels, '+')) as category, unnest(range(len(string_split(labels, '+')))) as rank, 'rules' as method from sec where labels <> ''),
+LABELS_SQL = f"""sec as ({METRICS['keyword_sectors']}), labels as (select id as company_id, unnest(string_split(labels, '+')) as category, unnest(range(len(string_split(labels, '+')))) as rank, 'rules' as method from sec where labels <> ''),
   summary as (select id, case when labels = '' then 'Da classificare' else string_split(labels, '+')[1] end as category, case when labels = '' then 'unknown' else 'rules' end as method, labels from sec)"""
-_TIERED = f"""{_ROLES}, {_LABELS}, counts as (select company_id, count(*) filter (verdict = 'tieni' and not closed) as keeps, count(*) filter (verdict = 'tieni' and not closed and "primary") as primaries from roles group by 1),
+TIERS_SQL = f"""{ROLES_SQL}, {LABELS_SQL}, counts as (select company_id, count(*) filter (verdict = 'tieni' and not closed) as keeps, count(*) filter (verdict = 'tieni' and not closed and "primary") as primaries from roles group by 1),
   ax as (select s.id, category, case when labels = '' then 'evidenza_mancante' when len(list_intersect(string_split(labels, '+'), {list(PREFERRED)})) > 0 then 'interessante' else 'non_interessante' end as axis, coalesce(keeps, 0) as keeps, coalesce(primaries, 0) as primaries
     from summary s left join counts c on c.company_id = s.id),
   tiers as (select id, category, axis, case when axis = 'interessante' and keeps > 0 then 'A' when axis = 'interessante' then 'B-attesa' when primaries > 0 then 'B-esperienza' when axis = 'evidenza_mancante' then 'evidenza-mancante' else 'scarto' end as tier, keeps from ax)"""
@@ -151,7 +151,7 @@ def _found(text: str, role: str, company: str, order: str, needed: bool) -> str:
     """The companies that answer a search, as a select over the views above."""
     hit = f"lower(a.data) like '%{text}%'" if text else "false"
     own = f"lower(c.name || ' ' || coalesce(c.description, '') || ' ' || coalesce(c.sectors, '')) like '%{text}%'" if text else "true"
-    return f"""{SQL}, {_STATUS}, {_TIERED}, a as (select *, {_DAY} as day from ads), n as (select company_id, count(*) as opportunity_count, count(*) filter ({role}) as roles, count(*) filter (({role}) and {hit}) as text_roles, max(day) filter ({role}) as latest_posted from a group by 1)
+    return f"""{SQL}, {_STATUS}, {TIERS_SQL}, a as (select *, {_DAY} as day from ads), n as (select company_id, count(*) as opportunity_count, count(*) filter ({role}) as roles, count(*) filter (({role}) and {hit}) as text_roles, max(day) filter ({role}) as latest_posted from a group by 1)
       select c.id, c.name, coalesce(s.status, 'new') as status, coalesce(n.opportunity_count, 0) as opportunity_count, coalesce(nullif(n.text_roles, 0), n.roles, 0) as matching_roles, n.latest_posted
       from companies c left join n on n.company_id = c.id left join statuses s on s.company_id = c.id where ({own} or coalesce(n.text_roles, 0) > 0) and {company} {'and coalesce(n.roles, 0) > 0' if needed else ''} {order}"""
 
@@ -159,11 +159,11 @@ def _found(text: str, role: str, company: str, order: str, needed: bool) -> str:
 _BY_NAME = "order by lower(c.name) nulls first, c.id limit 500"
 _A = ("id in (select id from roles where verdict = 'tieni' and not closed) and lower(cast(to_json(locations) as varchar)) like '%italia%'", "c.id in (select id from tiers where tier = 'A')")
 ORACLES = {
-    "role_verdicts": f"{SQL}, {_ROLES} select * from roles",
-    "archive_tiers": f"{SQL}, {_TIERED} select * from tiers",
-    "archive_tier_counts": f"{SQL}, {_TIERED} select tier, axis, count(*) as companies, count(*) filter (keeps > 0) as with_keeps from tiers group by 1, 2",
-    "category_summary": f"{SQL}, {_LABELS} select * from summary",
-    "labels_replaced": f"""{SQL}, {_STATUS}, {_LABELS}, held as (select id as company_id, {_TIDY('sectors')} as category, 0 as rank, case when s.status = 'saved' then 'hand' else 'import' end as method from companies c left join statuses s on s.company_id = c.id where {_TIDY('sectors')} <> ''),
+    "role_verdicts": f"{SQL}, {ROLES_SQL} select * from roles",
+    "archive_tiers": f"{SQL}, {TIERS_SQL} select * from tiers",
+    "archive_tier_counts": f"{SQL}, {TIERS_SQL} select tier, axis, count(*) as companies, count(*) filter (keeps > 0) as with_keeps from tiers group by 1, 2",
+    "category_summary": f"{SQL}, {LABELS_SQL} select * from summary",
+    "labels_replaced": f"""{SQL}, {_STATUS}, {LABELS_SQL}, held as (select id as company_id, {_TIDY('sectors')} as category, 0 as rank, case when s.status = 'saved' then 'hand' else 'import' end as method from companies c left join statuses s on s.company_id = c.id where {_TIDY('sectors')} <> ''),
       taken as (select * from labels where company_id not in (select company_id from held where method = 'hand')) select * from held where company_id not in (select company_id from taken) union all select * from taken""",
     "search_eligibility": _found("", "id in (select id from roles where eligibility = 'review') and (day is null or day >= '2026-06-01')", "true", "order by latest_posted desc nulls last, lower(c.name) nulls first, c.id limit 500", True),
     "search_tier": _found("", *_A, "order by matching_roles desc, lower(c.name) nulls first, c.id limit 500", True),
