@@ -129,7 +129,7 @@ DOCUMENT_ADS = 500
 
 
 def company_document(spark: SparkSession, folder: str) -> DataFrame:
-    """Nested documents of each company: its columns, its ads, its standing decisions.
+    """Nested documents of each company: its columns, its ads with the boards that show them, its standing decisions.
 
     A company's document comes in parts of about DOCUMENT_ADS ads, so an agency with a third of all ads is many rows
     of bounded size; decisions stand beside the ad they are on, those on the company in part 0.
@@ -137,13 +137,20 @@ def company_document(spark: SparkSession, folder: str) -> DataFrame:
     jobs = ads(spark, folder, "title", "source_url", "locations")
     said = latest_feedback(spark, folder).select("company_id", F.col("opportunity_id").alias("id"), F.col("status").alias("decision"))
     parts = jobs.groupBy("company_id").agg(F.ceil(F.count("*") / DOCUMENT_ADS).alias("parts"))
-    dealt = jobs.join(parts, "company_id").withColumn("part", F.pmod(F.xxhash64("id"), "parts")).join(said.where("id is not null"), ["company_id", "id"], "left")
-    nested = dealt.groupBy("company_id", "part").agg(F.array_sort(F.collect_list(F.struct("id", "title", "source_url", "locations", "decision"))).alias("ads"))
+    boards = _sources(spark, folder).groupBy(F.col("opportunity_id").alias("id")).agg(F.array_sort(F.collect_set("source")).alias("sources"))
+    dealt = jobs.join(parts, "company_id").withColumn("part", F.pmod(F.xxhash64("id"), "parts")).join(said.where("id is not null"), ["company_id", "id"], "left").join(boards, "id", "left")
+    nested = dealt.groupBy("company_id", "part").agg(F.array_sort(F.collect_list(F.struct("id", "title", "source_url", "locations", "decision", "sources"))).alias("ads"))
     whole = said.where("id is null").select("company_id", "decision")
     c = table(spark, folder, "companies").withColumnRenamed("id", "company_id")
     return c.join(nested, "company_id", "left").withColumn("part", F.coalesce("part", F.lit(0))).join(whole, "company_id", "left").withColumnRenamed("company_id", "id")
 
 
+def document_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, name, decision, ad, title, ad_decision, sources): the documents of `company_document` taken apart again; ad is null where a company has none."""
+    d = company_document(spark, folder).select("id", "name", "decision", F.explode_outer("ads").alias("a"))
+    return d.select("id", "name", "decision", F.col("a.id").alias("ad"), F.col("a.title").alias("title"), F.col("a.decision").alias("ad_decision"), F.array_join("a.sources", ",").alias("sources"))
+
+
 def role_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     """(id, fingerprint): what a decision on an ad was based on."""
     a = ads(spark, folder, "title", "remote_policy", "employment_type")
@@ -161,12 +168,6 @@ def basis_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return a.groupBy("company_id").agg(F.concat(*parts).alias("basis"))
 
 
-def archive_versions(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, rows, version): order-free digests of the inputs of each step, from sums of row hashes."""
-    one = lambda name, df, *cols: df.agg(F.lit(name).alias("name"), F.count("*").alias("rows"), F.sum(F.xxhash64(*cols).cast("decimal(38,0)")).cast("string").alias("version"))
-    return one("companies", table(spark, folder, "companies"), "id", "name", "sectors").union(one("ads", ads(spark, folder, keep=("company_id", "content_hash")), "id", "content_hash")).union(one("decisions", feedback(spark, folder), "id", "status", "undone_at"))
-
-
 def longest_description(spark: SparkSession, folder: str) -> DataFrame:
     """(company_id, id, characters): the ad with the longest description of each company, ties by id."""
     a = ads(spark, folder, "description").select("company_id", "id", F.length("description").cast("long").alias("characters")).where("characters > 0")
@@ -189,7 +190,7 @@ def first_titles(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     company_status, search_text, search_same_row, search_status, search_text_ads, search_page, tier_verdicts, tier_counts, latest_feedback, saved_list, decision_metrics, discard_reasons, proposals_having,
-    feedback_append, company_document, role_snapshot, basis_fingerprint, archive_versions, longest_description, best_company_text, first_titles)}
+    feedback_append, company_document, document_rows, role_snapshot, basis_fingerprint, longest_description, best_company_text, first_titles)}
 
 _STATUS = "statuses as (select company_id, status from (select *, row_number() over (partition by company_id order by id desc) as k from events_log where opportunity_id is null and undone_at is null) where k = 1)"
 _DAY = r"case when regexp_matches(posted_at, '^\d{4}-\d{2}-\d{2}') then posted_at[1:10] when regexp_matches(posted_at, '^\d{2}/\d{2}/\d{4}') then posted_at[7:10] || '-' || posted_at[4:5] || '-' || posted_at[1:2] end"
@@ -213,6 +214,9 @@ _TIERS = """select c_custkey, case when axis = 'yes' and coalesce(keeps, false)
   from (select c_custkey, case when c_acctbal < 0 then 'missing' when c_mktsegment in ('BUILDING', 'MACHINERY') then 'yes' else 'no' end as axis from customer) c
   left join (select o_custkey, bool_or(v) as keeps, bool_or(v and o_orderpriority = '1-URGENT') as prim from (select *, o_orderpriority <> '5-LOW' and o_totalprice >= 300000 as v from orders where o_orderstatus <> 'F') group by 1) o on o_custkey = c_custkey"""
 ORACLES = {
+    "document_rows": f"""{SQL}, {_LATEST}, b as (select opportunity_id, string_agg(source, ',' order by source) as sources from (select distinct opportunity_id, lower(trim(source)) as source from observations) group by 1)
+      select c.id, c.name, w.status as decision, a.id as ad, a.title, s.status as ad_decision, b.sources from companies c left join ads a on a.company_id = c.id left join b on b.opportunity_id = a.id
+      left join last w on w.company_id = c.id and w.opportunity_id is null left join last s on s.company_id = c.id and s.opportunity_id = a.id""",
     "company_status": f"{SQL}, {_STATUS} select * from statuses",
     "search_text": _search_sql("postgresql", "true", "true", "matching_roles desc", "limit 500", False),
     "search_text_ads": _search_sql("postgresql", "true", "true", "matching_roles desc", "", False).replace(

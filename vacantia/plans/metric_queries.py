@@ -256,7 +256,7 @@ def staleness(spark: SparkSession, folder: str) -> DataFrame:
 def population_freeze(spark: SparkSession, folder: str) -> DataFrame:
     """(batch, members, digest): a session's population in 64 batches by id, with an order-free digest of each."""
     a = ads(spark, folder, "description").where(T.clean("description") != "").select("id", (F.conv(F.substring("id", 1, 4), 16, 10).cast("long") % 64).alias("batch"))
-    return a.groupBy("batch").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("id")).alias("digest"))
+    return a.groupBy("batch").agg(F.count("*").alias("members"), F.bit_xor(F.conv(F.substring(F.md5("id"), 1, 15), 16, 10).cast("long")).alias("digest"))
 
 
 def answer_batches(spark: SparkSession, folder: str) -> DataFrame:
@@ -354,6 +354,7 @@ ORACLES = {
     "category_coverage": "select n_name, c_mktsegment, count(*) as customers from customer join nation on c_nationkey = n_nationkey group by 1, 2",
     "subset_violations": f"""{SQL} select e.id, 'ad' as kind from events_log e where opportunity_id is not null and not exists (select 1 from ads a where a.id = e.opportunity_id and a.company_id = e.company_id)
       union all select id, 'reason' from events_log where reason not in {ACTIVE}""",
+    "population_freeze": f"{SQL} select cast('0x' || id[1:4] as bigint) % 64 as batch, count(*) as members, bit_xor(cast('0x' || md5(id)[1:15] as bigint)) as digest from ads where {FLAT.format('description')} <> '' group by 1",
     "queue_plan": f"""select case when size = 0 then 'empty' when size > 4000 then 'oversized' else 'planned' end as kind, count(*) as n, cast(sum(size) as bigint) as characters from (select length({FLAT.format('text')}) as size from documents) group by 1""",
     "attempt_outcomes": f"""select doc_type, case when text is null then 'missing' when {FLAT.format('text')} = '' then 'blank' when length(text) < 80 then 'stub' else 'available' end as outcome, count(*) as n from documents group by 1, 2""",
     "confusion_matrix": f"select coalesce(lower(d.lang), 'pending') as expected, f.code as predicted, count(*) as n from documents d join ({TEXTS['language_detect']}) f on f.doc_id = d.doc_id group by 1, 2",

@@ -81,7 +81,7 @@ def shortlist_page(spark: SparkSession, folder: str) -> DataFrame:
     return W.shortlist(tiers(spark, folder), ("A", "B-esperienza", "B-attesa"), 500)
 
 
-def input_versions(spark: SparkSession, folder: str) -> DataFrame:
+def archive_versions(spark: SparkSession, folder: str) -> DataFrame:
     """(name, rows, version): keys for what is computed from the companies, the ads and the decisions."""
     c = W.version(table(spark, folder, "companies"), "companies", "id", "name", "sectors")
     a = W.version(ads(spark, folder, keep=("company_id", "content_hash")), "ads", "id", "company_id", "content_hash")
@@ -89,7 +89,7 @@ def input_versions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    answer_errors, evidence_added, request_queue, card_plan, company_inputs, session_populations, session_batches, sources_due, reparse_outcomes, shortlist_page, input_versions)}
+    answer_errors, evidence_added, request_queue, card_plan, company_inputs, session_populations, session_batches, sources_due, reparse_outcomes, shortlist_page, archive_versions)}
 
 _POPULATIONS = f"""{SQL}, {TIERS_SQL}, dec as (select distinct opportunity_id as id from events_log where undone_at is null and opportunity_id is not null),
   pop as (select 'undecided' as population, id from roles where not closed and verdict = 'non_so' and id not in (select id from dec) union all select 'selection', id from roles where not closed and verdict = 'tieni'
@@ -115,5 +115,5 @@ ORACLES = {
     "reparse_outcomes": r"""{0}, p as (select text as b, description as a, regexp_replace(coalesce(text, ''), '[\s\x0b]+', '', 'g') as x, regexp_replace(coalesce(description, ''), '[\s\x0b]+', '', 'g') as y from documents d join ads on ads.id = d.opportunity_id where doc_type = 'ad_text')
       select case when x = '' and y = '' then 'none' when x = '' then 'found' when y = '' then 'lost' when a = b then 'same' when x = y then 'respaced' else 'differs' end as outcome, count(*) as n from p group by 1""".replace("{0}", SQL),
     "shortlist_page": f"{SQL}, {TIERS_SQL} select id, tier, keeps from tiers where tier in ('A', 'B-esperienza', 'B-attesa') order by list_position(['A', 'B-esperienza', 'B-attesa'], tier), keeps desc, id limit 100",
-    "input_versions": f"{SQL} " + " union all ".join((_VERSION.format("companies", _KEY("id", "name", "sectors"), "companies"), _VERSION.format("ads", _KEY("id", "company_id", "content_hash"), "ads"), _VERSION.format("decisions", _KEY("id", "status", "reason"), "events_log"))),
+    "archive_versions": f"{SQL} " + " union all ".join((_VERSION.format("companies", _KEY("id", "name", "sectors"), "companies"), _VERSION.format("ads", _KEY("id", "company_id", "content_hash"), "ads"), _VERSION.format("decisions", _KEY("id", "status", "reason"), "events_log"))),
 }

@@ -209,7 +209,7 @@ def _fold_sql(c: str) -> str:
 
 
 _WORDS = r"list_filter(regexp_split_to_array({0}, '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
-_PLACES = f"""with al0 as (select ref_id as country, null::int as city, false as alone, unnest(list_distinct([name] || coalesce(aliases, []))) as alias from geo_reference
+PLACES_SQL = f"""with al0 as (select ref_id as country, null::int as city, false as alone, unnest(list_distinct([name] || coalesce(aliases, []))) as alias from geo_reference
   union all select g.ref_id, c.ref_id, null, unnest(list_distinct([c.name] || coalesce(c.aliases, []))) from city_reference c join geo_reference g on g.name = c.country),
 al as (select distinct a.country, a.city, coalesce(alone, list_contains(c.standalone_aliases, alias), false) as alone, length(alias) <= 3 as short, array_to_string({_WORDS.format(_fold_sql('alias'))}, ' ') as words from al0 a left join city_reference c on c.ref_id = a.city),
 v as (select raw, {_fold_sql('raw')} as f from (select distinct raw from places where raw is not null)),
@@ -224,11 +224,11 @@ r0 as (select c.raw, coalesce(sole.country, named, best.country) as country, coa
 resolved as (select raw, country, city, city is null and len(list_filter(first, lambda x: x <> '' and not list_contains({list(ANYWHERE)}, x) and not list_contains(flatten(used), x))) > 0 as to_map from r0),
 rp as (select p.opportunity_id, r.* from places p join resolved r using (raw))"""
 ORACLES = {
-    "place_resolve": f"{_PLACES} select distinct raw, country, city, to_map from rp",
-    "place_options": f"""{_PLACES}, n as (select country, city, count(distinct opportunity_id) as n from rp where country is not null group by 1, 2)
+    "place_resolve": f"{PLACES_SQL} select distinct raw, country, city, to_map from rp",
+    "place_options": f"""{PLACES_SQL}, n as (select country, city, count(distinct opportunity_id) as n from rp where country is not null group by 1, 2)
       select country, cast(sum(n) as bigint) as total, string_agg(case when city is null then '' || n else city || ':' || n end, ',' order by n desc, city nulls first) as cities from n group by 1""",
-    "places_unmapped": f"{_PLACES} select raw, count(distinct opportunity_id) as ads from rp where to_map group by 1",
-    "place_labels": f"""{_PLACES} select opportunity_id, string_agg(label, '; ' order by label) as labels from (select distinct opportunity_id, c.name || ', ' || c.country as label from rp join city_reference c on c.ref_id = rp.city) group by 1""",
+    "places_unmapped": f"{PLACES_SQL} select raw, count(distinct opportunity_id) as ads from rp where to_map group by 1",
+    "place_labels": f"""{PLACES_SQL} select opportunity_id, string_agg(label, '; ' order by label) as labels from (select distinct opportunity_id, c.name || ', ' || c.country as label from rp join city_reference c on c.ref_id = rp.city) group by 1""",
     "ingest_normalize": rf"""{SQL}, n as (select a.id, {FLAT.format('c.name')} as company_name, {FLAT.format('a.title')} as title, {FLAT.format('a.source_url')} as u, nullif({FLAT.format('a.remote_policy')}, '') as remote_policy from ads a left join companies c on c.id = a.company_id),
       p as (select *, regexp_full_match(u, '(?i)https?://[^/?#@\s]+(/[^?#\s]*)?(\?[^#\s]*)?(#.*)?') as good, lower(regexp_extract(u, '(?i)^(https?)://', 1)) as scheme, lower(regexp_extract(u, '(?i)^https?://([^/?#@\s]+)', 1)) as h,
         regexp_replace(regexp_extract(u, '(?i)^https?://[^/?#@\s]+(/[^?#\s]*)', 1), '/+$', '') as path,

@@ -12,6 +12,8 @@ from vacantia.plans.archive import SQL, ads, feedback
 from vacantia.plans.company_queries import _DAY, _STATUS, company_status, latest_feedback, searched
 from vacantia.plans.metric_queries import ORACLES as METRICS
 from vacantia.plans.metric_queries import keyword_sectors
+from vacantia.plans.upkeep_queries import PLACES_SQL as _PLACES
+from vacantia.plans.upkeep_queries import resolved_places
 from vacantia.runtime import table
 
 #: The rules of these queries: titles that the first judge refuses, titles that count as primary, and sectors that are wanted.
@@ -73,8 +75,6 @@ def labels_replaced(spark: SparkSession, folder: str) -> DataFrame:
 
 def _context(spark: SparkSession, folder: str, f: Filters) -> dict[str, DataFrame]:
     """The tables a filter needs, no others."""
-    from vacantia.plans.upkeep_queries import resolved_places
-
     found: dict[str, DataFrame] = {}
     if f.country or f.city:
         found["places"] = resolved_places(spark, folder)
@@ -97,8 +97,8 @@ def search_eligibility(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def search_tier(spark: SparkSession, folder: str) -> DataFrame:
-    """Companies of tier A with one of the ads it rests on in a place."""
-    return _search(spark, folder, Filters(tier="A", location="italia", sort="roles", limit=500))
+    """Companies of tier A with one of the ads it rests on in a place whose text holds `de`."""
+    return _search(spark, folder, Filters(tier="A", location="de", sort="roles", limit=500))
 
 
 def search_category(spark: SparkSession, folder: str) -> DataFrame:
@@ -125,7 +125,7 @@ def search_city(spark: SparkSession, folder: str) -> DataFrame:
 
 def search_total(spark: SparkSession, folder: str) -> DataFrame:
     """(total): how many companies answer `search_tier`, beyond any page."""
-    f = Filters(tier="A", location="italia")
+    f = Filters(tier="A", location="de")
     return matches(table(spark, folder, "companies"), searched(spark, folder, f), company_status(spark, folder), f, **_context(spark, folder, f)).agg(F.count("*").alias("total"))
 
 
@@ -157,7 +157,7 @@ def _found(text: str, role: str, company: str, order: str, needed: bool) -> str:
 
 
 _BY_NAME = "order by lower(c.name) nulls first, c.id limit 500"
-_A = ("id in (select id from roles where verdict = 'tieni' and not closed) and lower(cast(to_json(locations) as varchar)) like '%italia%'", "c.id in (select id from tiers where tier = 'A')")
+_A = ("id in (select id from roles where verdict = 'tieni' and not closed) and lower(cast(to_json(locations) as varchar)) like '%de%'", "c.id in (select id from tiers where tier = 'A')")
 ORACLES = {
     "role_verdicts": f"{SQL}, {ROLES_SQL} select * from roles",
     "archive_tiers": f"{SQL}, {TIERS_SQL} select * from tiers",
@@ -170,5 +170,7 @@ ORACLES = {
     "search_category": _found("python", "true", "c.id in (select company_id from labels where category = 'Energy')", _BY_NAME, False),
     "search_unlabelled": _found("", "true", "c.id not in (select company_id from labels)", _BY_NAME, False),
     "search_phd": _found("", "id in (select id from roles where \"primary\" and eligibility <> 'excluded')", "true", "order by matching_roles desc, lower(c.name) nulls first, c.id limit 500", True),
+    "search_city": f"""{_PLACES}, o as (select distinct id, company_id from opportunities) select c.id, count(*) as ads from companies c join o on o.company_id = c.id
+      where o.id in (select opportunity_id from rp where city = {CITY}) group by c.id, c.name order by lower(c.name) nulls first, c.id limit 500""",
     "search_total": f"select count(*) as total from ({_found('', *_A, '', True)})",
 }
