@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A local session with the settings the library is tested with."""
-    return (
+    """A local session with the settings the library is tested with, the package known to its workers."""
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("vacantia")
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -24,6 +24,8 @@ def session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkS
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
 
 
 _shipped: set[str] = set()
