@@ -14,12 +14,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vacantia.functions.fold import folded as fold
 from vacantia.runtime import spread, table
 
 #: Names and aliases held by every worker at once; a longer list is met in blocks of this many.
 BLOCK = 20_000
-#: Letters that keep no base letter under compatibility decomposition (fixed values).
-STROKES = str.maketrans({"ø": "o", "æ": "ae", "œ": "oe", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ı": "i", "ŋ": "n", "ß": "ss"})
 #: Two-letter forms that are no mistake for a letter (fixed values); æ is also typed as plain a.
 DIGRAPHS = {"ä": ("ae",), "ö": ("oe",), "ü": ("ue",), "å": ("aa",), "ø": ("oe",), "æ": ("a",)}
 #: Signs that part a value into segments; a dash only between blanks.
@@ -31,12 +30,6 @@ _ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 _ALIKE = {frozenset(p) for p in ("0o", "1l", "1i", "il", "5s", "uv", "mn")} | {frozenset(r[i : i + 2]) for r in _ROWS for i in range(len(r) - 1)}
 
 
-def fold(text: str) -> str:
-    """Lower case without accents; stroke letters become their base letters."""
-    plain = unicodedata.normalize("NFKD", text.casefold().translate(STROKES))
-    return "".join(c for c in plain if not unicodedata.combining(c))
-
-
 def forms(name: str) -> set[str]:
     """Every folded spelling of a name that counts as free of mistakes, without blanks and signs."""
     text = unicodedata.normalize("NFC", name.casefold())
@@ -225,8 +218,10 @@ def map_values(df: DataFrame, text: str, aliases: DataFrame, block: int = BLOCK)
 
 
 def _resolve(values: DataFrame, text: str, aliases: tuple[Alias, ...], often: dict[int, int]) -> DataFrame:
+    sent = values.sparkSession.sparkContext.broadcast(aliases)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _dictionary(aliases)
+        words = _dictionary(sent.value)
         for b in batches:
             refs = [decide(words.candidates(v), often) for v in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(refs, pa.int32()), b.column(1)], names=[text, "ref", "n"])
@@ -239,8 +234,10 @@ _KIND = pa.list_(pa.struct(list(zip(_FIELDS, (pa.int32(), pa.int32(), pa.string(
 
 
 def _candidates(values: DataFrame, text: str, aliases: tuple[Alias, ...]) -> DataFrame:
+    sent = values.sparkSession.sparkContext.broadcast(aliases)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _dictionary(aliases)
+        words = _dictionary(sent.value)
         for b in batches:
             found = [[dict(zip(_FIELDS, c)) for c in words.candidates(v)] for v in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, _KIND)], names=[text, "n", "found"])
