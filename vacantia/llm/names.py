@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -239,78 +240,96 @@ def parsed(df: DataFrame, key: str, name: str) -> DataFrame:
     return df.select(F.col(key).cast("string").alias("id"), F.col(name).alias("_n")).mapInArrow(run, "id string, key string")
 
 
+def _number(text: str) -> int:
+    """A 64-bit number for a block."""
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
+
+
+#: `kind`: 2 for the block of an intact word, 1 for one that all names in it meet in, 0 for one made for lone words.
+_BLOCKS = "key long, block long, kind int, lone boolean"
+
+
+def _rows(rows: list[tuple[int, int, int, bool]]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(4)], names=["key", "block", "kind", "lone"])
+
+
 def _blocked(keys: DataFrame) -> DataFrame:
-    """(key, block, lone): a row for each block of each distinct name."""
+    """(key, block, kind, lone): a row for each block of each distinct name (key, name)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for k in b.column(0).to_pylist():
-                words, _ = split(k)
-                rows += [(k, x, len(words) == 1) for x in blocks(words)]
-            kinds = (pa.string(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(3)], names=["key", "block", "lone"])
+            for k, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words, _ = split(name)
+                rows += [(k, _number(x), 2 if x[0] == "w" else int(x[0] == "c"), len(words) == 1) for x in blocks(words)]
+            yield _rows(rows)
 
-    return spread(keys).mapInArrow(run, "key string, block string, lone boolean")
+    return spread(keys).mapInArrow(run, _BLOCKS)
 
 
-def _divided(crowded: DataFrame) -> DataFrame:
-    """(key, block, lone): the rows of crowded blocks of a shared word, one for each part of the block they lie in."""
+def _divided(crowded: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of crowded blocks of a shared word, one for each part of the block they lie in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(k, f"{w}|{x}") for k, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in beside(split(k)[0], w[1:])]
-            columns = [pa.array([r[i] for r in rows], pa.string()) for i in range(2)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([False] * len(rows))], names=["key", "block", "lone"])
+            rows = []
+            for k, block, name in zip(*(c.to_pylist() for c in b.columns)):
+                words, _ = split(name)
+                shared = next(w for w in words if _number(f"w{w}") == block)
+                rows += [(k, _number(f"{block}|{x}"), 1, False) for x in beside(words, shared)]
+            yield _rows(rows)
 
-    return crowded.select("key", "block").mapInArrow(run, "key string, block string, lone boolean")
+    return crowded.select("key", "block").join(keys, "key").select("key", "block", "name").mapInArrow(run, _BLOCKS)
 
 
-def _pairs(blocked: DataFrame) -> DataFrame:
-    """(a, b): the distinct names that share a block; of keys made for lone words, only those with a lone word."""
+def _pairs(blocked: DataFrame, keys: DataFrame) -> DataFrame:
+    """(a, b), a < b: the distinct names that share a block; in blocks made for lone words, only those with a lone word."""
     size = blocked.groupBy("block").agg(F.count("*").alias("n"), F.max("lone").alias("any_lone"))
-    live = size.where("n > 1 and (any_lone or substr(block, 1, 1) in ('w', 'c'))")
-    rows = blocked.join(live, "block")
-    crowded = (F.col("n") > CROWDED) & (F.substring("block", 1, 1) == "w")
-    rows = rows.where(~crowded).select("key", "block", "lone").union(_divided(rows.where(crowded))).distinct()
-    rows = materialize(rows)
-    every = F.substring("block", 1, 1).isin("w", "c")
-    left, right = rows.where(F.col("lone") | every).alias("l"), rows.alias("r")
+    rows = blocked.join(size.where("n > 1"), "block").where("any_lone or kind > 0")
+    crowded = (F.col("n") > CROWDED) & (F.col("kind") == 2)
+    calm = rows.where(~crowded).select("key", "block", "kind", "lone")
+    live = materialize(calm.unionByName(_divided(rows.where(crowded), keys)).distinct())
+    left, right = live.where("lone or kind > 0").alias("l"), live.alias("r")
     meet = (F.col("l.block") == F.col("r.block")) & (F.col("l.key") != F.col("r.key"))
-    met = left.withColumn("every", every).alias("l").join(right, meet).where(~F.col("l.every") | (F.col("l.key") < F.col("r.key")))
+    met = left.join(right, meet).where((F.col("l.kind") == 0) | (F.col("l.key") < F.col("r.key")))
     return met.select(F.least("l.key", "r.key").alias("a"), F.greatest("l.key", "r.key").alias("b")).distinct()
 
 
-def relation(a: str, b: str) -> list[tuple[str, str, str, int]]:
-    """The links (a, b, kind, mistakes) of two keys: `name` for one organisation, `cut` where the first may be the second with something left out.
+def relation(a: str, b: str) -> list[tuple[bool, str, int, bool]]:
+    """The links (turned, kind, mistakes, single) of two names: `name` for one organisation, `cut` where the first (the second, if turned) may be the other with something left out.
 
     Names with given names that have none in common are never linked. A name without a given name where the other has
-    one is cut, as is a lone word that resembles a word of the other.
+    one is cut, as is a lone word that resembles a word of the other. `single`: what it is cut from is a lone word too.
     """
     (x, given), (y, other) = split(a), split(b)
     if given and other and not given & other:
         return []
     whole = same(x, y) or (len(x) == 1 and x == y)
     if whole and bool(given) == bool(other) and (len(x) > 1 or len(y) > 1 or given):
-        return [(a, b, "name", 0)]
+        return [(False, "name", 0, False)]
     if whole:
-        return [(a, b, "cut", 0) if other else (b, a, "cut", 0)]
+        return [(not other, "cut", 0, len(y if other else x) == 1)]
     if min(len(x), len(y)) > 1:
         return []
     near = [d for w in (x if len(x) == 1 else y) for v in (y if len(x) == 1 else x) if (d := word_distance(w, v)) is not None]
-    return [(p, q, "cut", min(near)) for p, q, own in ((a, b, x), (b, a, y)) if len(own) == 1] if near else []
+    return [(turned, "cut", min(near), len(rest) == 1) for turned, own, rest in ((False, x, y), (True, y, x)) if len(own) == 1] if near else []
 
 
-def _compared(pairs: DataFrame) -> DataFrame:
-    """(a, b, kind, mistakes): `relation` of each pair."""
+def _compared(pairs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(a, b, kind, mistakes, single): `relation` of each pair of names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r for a, b in zip(*(c.to_pylist() for c in batch.columns)) for r in relation(a, b)]
-            kinds = (pa.string(), pa.string(), pa.string(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(4)], names=["a", "b", "kind", "mistakes"])
+            rows = []
+            for i, j, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                rows += [(j, i, *r) if turned else (i, j, *r) for turned, *r in relation(a, b)]
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(5)], names=["a", "b", "kind", "mistakes", "single"])
 
-    return spread(pairs).mapInArrow(run, "a string, b string, kind string, mistakes int")
+    left, right = (keys.select(F.col("key").alias(k), F.col("name").alias(f"name_{k}")) for k in ("a", "b"))
+    named = spread(pairs).join(left, "a").join(right, "b").select("a", "b", "name_a", "name_b")
+    return named.mapInArrow(run, "a long, b long, kind string, mistakes int, single boolean")
 
 
 def organisations(df: DataFrame, key: str, name: str) -> DataFrame:
@@ -321,23 +340,23 @@ def organisations(df: DataFrame, key: str, name: str) -> DataFrame:
     so and their given names, if both have any, have one in common; those links are closed by connected components. A
     name cut to one word, or without its given name, joins the one organisation that has the rest with the fewest
     mistakes; if several do (a shared word), it joins none. A row with a null or empty name is its own organisation;
-    a null id is left out. An empty table gives no rows.
+    a null id is left out. An empty table gives no rows. Classes and blocks go by 64-bit hashes: among a billion
+    different names, two share one by chance with a probability of 3 %.
     """
-    rows = materialize(parsed(df, key, name).where("id is not null"))
-    keys = rows.select("key").where("key is not null").distinct()
-    found = materialize(_compared(_pairs(materialize(_blocked(keys)))))
-    named = found.where("kind = 'name'").select("a", "b")
-    whole = materialize(connected_components(named))
-    lone = found.where("kind = 'cut'").join(whole.select(F.col("node").alias("b"), "component"), "b", "left")
-    lone = lone.select("a", F.coalesce("component", "b").alias("to"), "mistakes", (F.substring_index("b", " ~", 1).contains(" ") == F.lit(False)).alias("single"))
-    rank = F.struct("single", "mistakes")
-    best = lone.groupBy("a").agg(F.min(rank).alias("best"))
-    tied = lone.join(best, "a").where(F.col("best") == rank).groupBy("a").agg(F.min("to").alias("b"), F.max("to").alias("other"))
+    rows = materialize(parsed(df, key, name).where("id is not null").select("id", F.col("key").alias("name"), F.when(F.col("key").isNotNull(), F.xxhash64("key")).alias("key")))
+    keys = materialize(rows.where("name is not null").groupBy("key").agg(F.min("name").alias("name")))
+    found = materialize(_compared(_pairs(materialize(_blocked(keys)), keys), keys))
+    whole = materialize(connected_components(found.where("kind = 'name'").select("a", "b")))
+    cut = found.where("kind = 'cut'").join(whole.select(F.col("node").alias("b"), "component"), "b", "left")
+    cut = cut.select("a", F.coalesce("component", "b").alias("to"), F.struct("single", "mistakes").alias("rank"))
+    best = cut.groupBy("a").agg(F.min("rank").alias("best"))
+    tied = cut.join(best, "a").where("best = rank").groupBy("a").agg(F.min("to").alias("b"), F.max("to").alias("other"))
     links = whole.select(F.col("node").alias("a"), F.col("component").alias("b")).union(tied.where("b = other").select("a", "b"))
     classes = connected_components(links).withColumnRenamed("node", "key")
-    member = rows.join(classes, "key", "left").select("id", F.coalesce("component", "key", F.concat(F.lit("\x00"), "id")).alias("c"))
+    member = rows.where("key is not null").join(classes, "key", "left").select("id", F.coalesce("component", "key").alias("c"))
     first = member.groupBy("c").agg(F.min("id").alias("organisation"))
-    return member.join(first, "c").select("id", "organisation").distinct()
+    nameless = rows.where("key is null").select("id", F.col("id").alias("organisation"))
+    return member.join(first, "c").select("id", "organisation").union(nameless).distinct()
 
 
 def p3_organisations(spark: SparkSession, folder: str) -> DataFrame:
