@@ -46,6 +46,20 @@ def deletes(text: str, most: int) -> set[str]:
     return found
 
 
+def _single(a: str, b: str) -> tuple[int, float] | None:
+    """`distance` of two spellings that are equal or one mistake apart, None for all others."""
+    if a == b:
+        return 0, 0.0
+    at = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    if len(a) == len(b):
+        if a[at + 1 :] == b[at + 1 :]:
+            return 1, 0.5 if frozenset((a[at], b[at])) in _ALIKE else 1.0
+        swapped = a[at + 1 : at + 2] == b[at] and b[at + 1 : at + 2] == a[at] and a[at + 2 :] == b[at + 2 :]
+        return (1, 0.75) if swapped else None
+    longer, shorter = (a, b) if len(a) > len(b) else (b, a)
+    return (1, 1.0) if longer[at + 1 :] == shorter[at:] else None
+
+
 def distance(a: str, b: str, most: int) -> tuple[int, float] | None:
     """(mistakes, weight) between two spellings; None beyond `most`.
 
@@ -54,6 +68,9 @@ def distance(a: str, b: str, most: int) -> tuple[int, float] | None:
     """
     if abs(len(a) - len(b)) > most:
         return None
+    near = _single(a, b)
+    if near or most < 2:
+        return near if near and near[0] <= most else None
     n, m = len(a), len(b)
     far = (n + m, float(n + m))
     table = [[far] * (m + 2)] + [[far] + [(j, float(j)) for j in range(m + 1)]] + [[far, (i, float(i))] + [far] * m for i in range(1, n + 1)]
@@ -74,6 +91,8 @@ def distance(a: str, b: str, most: int) -> tuple[int, float] | None:
             if x == y:
                 last_column = j
             row[j + 1] = best
+        if min(row)[0] > most:
+            return None  # no later row has less, whatever is swapped
         last_row[x] = i
     return table[n + 1][m + 1] if table[n + 1][m + 1][0] <= most else None
 
